@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, pii
 from tessera.llm.common import documents
 
 
@@ -14,7 +14,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir, "doc_id", "text")))
+
+
 QUERIES = {
     "op7_bpe": op7_bpe,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,61 @@
+"""Spans against plain expressions, and the confirmed proposals beside them."""
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import pii
+from tessera.llm.queries import op9_pii
+
+
+def brute(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1Z0.@-+ ()%é5٣\n", max_size=60))
+def test_base_spans_match_plain_expressions(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_cards_and_accounts():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    found = pii.spans("pay DE89 3704 0044 0532 0130 00 now, card 378282246310005; id 378282246310005x")
+    assert [(s["kind"], s["base"]) for s in found] == [("card", False), ("card", False), ("iban", False)]
+    assert pii.spans("pay DE88 3704 0044 0532 0130 00 and 378282246310005") == []
+    assert [s["kind"] for s in pii.spans("+1 (269) 555-3296 4111111111111111")] == ["card"]
+    assert [s["kind"] for s in pii.spans("call 269-555-3296")] == ["phone"] and pii.spans("nr 269-555-3296") == []
+    assert [s["kind"] for s in pii.spans("SSN 123-45-6789")] == ["ssn"]
+    assert pii.mask("a b@c.de 1.2.3.4", pii.spans("a b@c.de 1.2.3.4")) == "a [EMAIL] [IP]"
+
+
+def test_long_texts_are_linear():
+    for sign in ("1", "a", "1.", "a@", "+1", "1 ", "AA11", "%"):
+        pii.spans(sign * 100_000)
+
+
+def test_query_on_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in op9_pii(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        found = brute(d.text)
+        assert rows[d.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
+        assert [rows[d.doc_id][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in found) for k in pii.BASE]
+        assert {f"{k}:{s}:{e}" for k, s, e in found} <= set(rows[d.doc_id].spans.split(","))
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "x a@b.cd")], "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS kind")
+    got = sorted((str(r.doc_id), r.n_email, r.spans) for r in pii.digests(pii.find(df)).collect())
+    assert got == [("1", 0, ""), ("2", 0, ""), ("2", 0, ""), ("None", 1, "email:2:8")]
+    assert pii.digests(pii.find(df.limit(0))).count() == 0
