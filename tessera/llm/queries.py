@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, mixing, pii
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_rules
 from tessera.llm.common import documents, text_or_empty, words
 
 
@@ -15,6 +15,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty().cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(fingerprints.with_edited(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
@@ -31,11 +35,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    rules = quality_rules.learn(*quality_rules.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_rules.SAMPLE))
+    return quality_rules.judge(docs, rules)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
