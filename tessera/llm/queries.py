@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_rules
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_rules, toxicity
 from tessera.llm.common import documents, text_or_empty, words
 
 
@@ -19,6 +19,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(fingerprints.with_edited(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.learn(docs, toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
@@ -44,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
