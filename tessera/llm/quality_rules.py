@@ -65,14 +65,15 @@ def repeat_words(found: Column) -> Column:
     return let(windows, repeated)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base statistics, further counts) of each whole text. No shuffle, no Python on the executors."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *beside: str) -> DataFrame:
+    """(doc_id, base statistics, further counts, columns named besides) of each whole text. No shuffle, no Python on the executors."""
     text = text_or_empty(text_col)
     with_word = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
+        *beside,
         let(words(text), of_words).alias("w"),
         let(with_word, of_lines).alias("l"),
         without(text, SPACE_CLASS).alias("word_chars"),
@@ -81,7 +82,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         without(text, r"[^\p{Lu}]+").alias("n_capitals"),
         without(text, r"[^0-9]+").alias("n_digits"),
     )
-    return rows.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_shouts", "n_capitals", "n_digits")
+    return rows.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_shouts", "n_capitals", "n_digits", *beside)
 
 
 def features(stats: DataFrame) -> DataFrame:

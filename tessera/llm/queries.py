@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_rules, toxicity
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_bayes, quality_rules, toxicity
 from tessera.llm.common import documents, text_or_empty, words
 
 
@@ -25,6 +25,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is a document's host; the language's part of it is its path."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
+    return quality_bayes.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
@@ -51,6 +57,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
+    "op6_quality_bayes": op6_quality_bayes,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
