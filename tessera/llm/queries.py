@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_bayes, quality_rules, toxicity
-from tessera.llm.common import documents, text_or_empty, words
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
+from tessera.llm.common import documents, shared_folder, text_or_empty, words
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as the compacted store holds it, with the shard that it lies in."""
+    store = sharding.shard(documents(spark, sf_dir), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.delete_at_end()
+    return store.placed().select("doc_id", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "shard")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
