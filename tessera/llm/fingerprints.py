@@ -13,7 +13,8 @@ within the radius, so each pair of blocks is the key of one table.
 Cases: a null text is empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Documents that share an id share their next
 document, the least text of the next id. A single document is its own next.
-Only the id and text columns are read; an empty table gives no rows.
+A null id comes before all others. Only the id and
+text columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, SPACE_CLASS, SPACES, UPPER, checkpointed, text_or_empty, written
 
 BITS = 128
+#: Stands for a null id, which comes before all others: joins on plain equality keep the partitions they were dealt to.
+NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 HEAVIEST = 16
 
@@ -84,13 +87,13 @@ def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, next_id, text, edited): the edited text has the first code points of the next document in place of the last half. Of the next text only the code points needed are shuffled."""
-    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     after = next_ids(own, "id", half)
     provider = own.select(F.col("id").alias("next_id"), "text")
-    given = after.join(provider, after["next_id"].eqNullSafe(provider["next_id"])).select("id", after["next_id"], F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
+    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
     given = given.groupBy("id", "next_id").agg(F.min("prefix").alias("prefix")).withColumnRenamed("id", "of")
-    both = own.join(given, own["id"].eqNullSafe(given["of"]))
+    both = own.join(given, own["id"] == given["of"])
     changed = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("prefix", F.lit(1), half))
     return both.select(F.col("id").alias(id_col), "next_id", "text", changed.alias("edited"))
 
@@ -130,10 +133,10 @@ def as_hex(a: str, b: str) -> Column:
 def compare(found: DataFrame) -> DataFrame:
     """Likeness of each document's fingerprint to that of its edited text and of the next document."""
     following = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("f1", "f2")).alias("n"))
-    both = found.join(following, found["next_id"].eqNullSafe(following["id"]))
+    both = found.join(following, found["next_id"] == following["id"])
     mine = [F.col("f1"), F.col("f2")]
     return both.select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         as_hex("f1", "f2").alias("fingerprint"),

@@ -1,0 +1,236 @@
+"""Near-duplicate documents by bottom-k sketches from one hash function.
+
+A text's set is its distinct shingles of five words. Texts with equal sets form a
+class, of which the least document stands for all. Its sketch holds the ``SKETCH``
+smallest hashes of the set. Inverted lists of the ``KEPT`` smallest retained
+values give the pairs that share some, the union's sketch estimates their
+likeness, and pairs that may be near are confirmed on the full sets of their
+texts. Links make components.
+
+Values in more than ``common`` sketches (passages that many texts share, large
+groups of near copies) would give lists whose pairs grow with the square. The
+order of values puts them last: a text that has enough rarer values is found by
+these. A text made mostly of common values is in long lists as well, which are
+worked off in rounds: each list compares all its texts with one leader, near ones
+join the leader's component, and when components have grown together the pairs
+across the components that are left in a list are compared in full. So nothing
+is capped and no list emits all its pairs.
+
+Cases: a null text is empty; a text without words has no set and is linked with
+nothing. A null id is the least. Rows that share an id are one document, linked
+by whatever any of its texts is near. Only the id and text columns are read; an
+empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import written
+from tessera.llm.graph import components
+
+SHINGLE = 5
+#: Values of a sketch, and those that a text is listed under.
+SKETCH, KEPT = 64, 16
+#: A value in more sketches than this is common.
+COMMON = 50
+#: Common values that are broadcast at most; beyond it, ``common`` is raised until they fit (longer lists, the same result).
+COMMON_VALUES = 1_000_000
+#: Ids up to which the texts to confirm are picked out by a broadcast join.
+BROADCAST_IDS = 1_000_000
+#: Pairs with a lower estimate aren't confirmed: 6 standard deviations below 0.75 for SKETCH values.
+ESTIMATE = 0.42
+#: Rounds of leaders, and pairs for each listed text that the last comparison may have before another round is made.
+ROUNDS, PAIRS = 4, 30
+NO_ID = -(1 << 63)
+ROWS = 256
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted 63-bit hashes of the distinct shingles of a text (UTF-8); A-Z count as a-z, words end at ASCII white space."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(words))):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + n]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed >> np.uint64(1))
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, digest and sketch of each text's set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            sets = [shingle_set(t or b"") for t in rows.column(1).cast(pa.binary()).to_pylist()]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists_of([s[:SKETCH] for s in sets])],
+                names=["id", "n", "d1", "d2", "sketch"],
+            )
+
+
+def listing(common: np.ndarray):
+    """Values that a text is listed under: its smallest that aren't common, and, if those are less than half of its sketch, its smallest common ones too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare, often = [], []
+            for values in batch.column(2):
+                x = np.asarray(values.values, dtype=np.int64)
+                is_common = np.isin(x, common, assume_unique=True)
+                rare.append(x[~is_common][:KEPT])
+                often.append(x[is_common][:KEPT] if 2 * is_common.sum() > len(x) else x[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(rare), lists_of(often)], names=["v", "n", "rare", "often"])
+
+    return run
+
+
+def sizes_near(m: str, n: str) -> Column:
+    return (4 * F.col(m) >= 3 * F.col(n)) & (4 * F.col(n) >= 3 * F.col(m))
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose union's sketch says that they may be near."""
+    x, y = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("v").alias("b"), F.col("sketch").alias("y"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    # common values that lie in the union's sketch
+    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
+    inside = F.when(shared == 0, 0).otherwise(F.size(F.array_intersect(F.array_intersect("x", "y"), union)) / F.size(union))
+    return both.filter(inside >= ESTIMATE).select("a", "b").distinct()
+
+
+def confirming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, x, y), the pairs whose texts' sets are near."""
+    text, held = None, None
+    for batch in batches:
+        found = []
+        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+            if y != text:
+                text, held = y, shingle_set(y or b"")
+            other = shingle_set(x or b"")
+            shared = len(np.intersect1d(other, held, assume_unique=True))
+            if shared and 100 * shared >= 75 * (len(other) + len(held) - shared):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are near on their full sets."""
+    x, y = texts.select(F.col("v").alias("a"), F.col("text").alias("x")), texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").sortWithinPartitions("b", "a")
+    return both.mapInArrow(confirming, "a long, b long").distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
+def rare_pairs(posts: DataFrame) -> DataFrame:
+    """Pairs that share a value which isn't common; such a list has ``common`` texts at most."""
+    listed = posts.select("v", "n", F.explode("rare").alias("value"))
+    other = listed.withColumnsRenamed({"v": "b", "n": "m"})
+    return listed.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
+
+
+def leader_pairs(listed: DataFrame, turn: int) -> DataFrame:
+    """In each long list, its texts with a leader that the turn chooses."""
+    leaders = listed.groupBy("value").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "value", "v"), F.col("v").alias("b"), F.col("n").alias("m"))).alias("l")).select("value", "l.b", "l.m")
+    return ordered(listed.withColumnRenamed("v", "a").join(leaders, "value").filter(sizes_near("m", "n")))
+
+
+def labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    return listed.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+
+def largest(listed: DataFrame) -> DataFrame:
+    """(value, top, least): of each long list with several components, the largest and the number of texts."""
+    sums = listed.groupBy("value", "component").agg(F.count("*").alias("count"))
+    return sums.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("texts"), F.count("*").alias("parts")).filter("parts > 1")
+
+
+def rest_pairs(listed: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs across the components of a long list, each at the least common value that both are listed under: texts outside the largest component with all others."""
+    of = listed.join(tops.select("value", F.col("top.component").alias("top")), "value")
+    outside = of.filter("component != top").select("value", F.col("v").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("often").alias("o"))
+    across = (F.col("c") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a") < F.col("v")))
+    once = F.array_min(F.array_intersect("o", "often")) == F.col("value")
+    return ordered(outside.join(of, "value").filter(across & sizes_near("m", "n") & once).select("a", F.col("v").alias("b")))
+
+
+def common_values(sketches: DataFrame, common: int, most: int = COMMON_VALUES) -> np.ndarray:
+    counts = written(sketches.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") > common), "common")
+    while counts.filter(F.col("count") > common).count() > most:
+        common *= 2
+    return np.sort(counts.filter(F.col("count") > common).select("value").toPandas()["value"].to_numpy(np.int64))
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, d1, d2, sketch) of each document, written; (rep, d1, d2): the least document of each set that isn't empty."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    found = written(docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(sketched, "id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
+    reps = found.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    return found, written(reps, "classes")
+
+
+def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(v, component) over the classes' documents, from sketches (v, n, sketch)."""
+    posts = written(sketches.mapInArrow(listing(common_values(sketches, common)), "v long, n long, rare array<long>, often array<long>"), "posts")
+    pairs = written(estimated(rare_pairs(posts), sketches), "pairs")
+    long = posts.filter(F.size("often") > 0)
+    needed = written(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long.select("v")).distinct(), "needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = written(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("v"), F.col(text_col).alias("text")).join(few, "v", "left_semi"), "texts")
+    near = written(confirmed(pairs, texts), "links")
+    listed = long.select("v", "n", "often", F.explode("often").alias("value"))
+    n_listed = listed.count()
+    if not n_listed:
+        return components(near)
+    tried = None
+    for turn in range(ROUNDS):
+        again = leader_pairs(listed, turn)
+        if tried is not None:
+            again = again.join(tried, ["a", "b"], "left_anti")
+        again = written(estimated(again, sketches), "pairs")
+        near = near.union(written(confirmed(again, texts), "links"))
+        tried = again if tried is None else tried.union(again)
+        now = written(labelled(listed, written(components(near), "components")), "listed")
+        tops = written(largest(now), "largest")
+        left = tops.agg(F.sum(F.col("texts") * (F.col("texts") - F.col("top.count")))).first()[0] or 0
+        if left <= PAIRS * n_listed:
+            break
+    if left:
+        rest = estimated(rest_pairs(now, tops).join(tried, ["a", "b"], "left_anti"), sketches)
+        near = near.union(written(confirmed(rest, texts), "links"))
+    return components(near)
+
+
+def near_duplicates(docs: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each document: the size of its set, the least document that links reach from it, and whether that is itself."""
+    found, reps = classes(docs, id_col, text_col)
+    # three keys, so a hot class isn't one task's
+    chosen = found.join(reps.withColumnRenamed("rep", "id"), ["d1", "d2", "id"]).select(F.col("id").alias("v"), "n", "sketch")
+    parts = written(links(docs, written(chosen, "representatives"), common, id_col, text_col), "components")
+    of_class = reps.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    of_row = found.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    of_id = F.nullif("id", F.lit(NO_ID))
+    component = F.nullif("component", F.lit(NO_ID))
+    return of_row.select(of_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -76,4 +76,6 @@ def test_nulls_ties_and_small_tables(spark):
     assert {r.doc_id: r.n_chars for r in got} == {1: 0, 2: 0, 3: 1, 5: 13, 9: 50_000}
     one = fp.compare(fp.with_edited(df.filter("doc_id = 3"))).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+    nameless = spark.createDataFrame([(None, "abcd"), (7, "wxyz")], "doc_id long, text string")
+    assert {r.doc_id: r.edited_sha256 for r in fp.compare(fp.with_edited(nameless)).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((None, "abwx"), (7, "wxab"))}
     assert fp.compare(fp.with_edited(df.limit(0))).count() == 0
