@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
+from tessera.llm import bpe, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
 from tessera.llm.common import documents, shared_folder, text_or_empty, words
 
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source is a document's host; the language's part of it is its path."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
+    "op5_minhash": op5_minhash,
     "op6_quality_bayes": op6_quality_bayes,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
