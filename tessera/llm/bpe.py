@@ -143,8 +143,8 @@ def _broadcast(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary) | {"key": vocabulary})
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """(id, ids binary[, decoded string]): the ids of each whole text, packed as little-endian unsigned 32-bit integers, and with ``decoded`` the text that they decode to. No shuffle: each task streams its rows through the merges. ``vocabulary`` is the tokenizer file's path, read on the driver alone."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, beside: tuple = ()) -> DataFrame:
+    """(id, ids binary[, decoded string], columns named in ``beside``): the ids of each whole text, packed as little-endian unsigned 32-bit integers, and with ``decoded`` the text that they decode to. No shuffle: each task streams its rows through the merges. ``vocabulary`` is the tokenizer file's path, read on the driver alone."""
     shared = _broadcast(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +156,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 out = [rows.column(0), pa.array(ids, pa.binary())]
                 if decoded:
                     out.append(pa.array(map(codec.decode, ids), pa.string()))
+                out += rows.columns[2:]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    names = [id_col, "ids", *(["decoded"] if decoded else [])]
-    kinds = [docs.schema[id_col].dataType.simpleString(), "binary", "string"]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    names = [id_col, "ids", *(["decoded"] if decoded else []), *beside]
+    kinds = [docs.schema[id_col].dataType.simpleString(), "binary", *(["string"] if decoded else []), *(docs.schema[n].dataType.simpleString() for n in beside)]
+    return docs.select(id_col, text_col, *beside).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

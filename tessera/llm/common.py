@@ -38,15 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again: a lost executor costs a file's tasks, not the lineage before them. The folder goes when the session ends."""
+def written(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """The rows, written as a table in the shared folder and read again: a lost executor costs a file's tasks, not the lineage before them. The folder goes when the session ends, or when a later table ``replaces`` it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if replaces is not None:
+        discard(replaces)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a ``written`` table that nothing reads any more."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     before = state(edges)
     while before[0]:
-        edges = written(small_star(large_star(edges).distinct()).distinct(), "edges")
+        edges = written(small_star(large_star(edges).distinct()).distinct(), "edges", replaces=edges)
         now = state(edges)
         if now == before:
             break

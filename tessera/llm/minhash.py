@@ -151,29 +151,41 @@ def rare_pairs(posts: DataFrame) -> DataFrame:
     return listed.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
 
 
-def leader_pairs(listed: DataFrame, turn: int) -> DataFrame:
-    """In each long list, its texts with a leader that the turn chooses."""
-    leaders = listed.groupBy("value").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "value", "v"), F.col("v").alias("b"), F.col("n").alias("m"))).alias("l")).select("value", "l.b", "l.m")
-    return ordered(listed.withColumnRenamed("v", "a").join(leaders, "value").filter(sizes_near("m", "n")))
+def leader_pairs(long: DataFrame, turn: int, open_lists: DataFrame | None = None) -> DataFrame:
+    """In each long list, its texts with a leader that the turn chooses. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("order"), "v", "n")).alias("l")
+    entries = long.groupBy("often").agg(first).select("often", "l", F.explode("often").alias("value"))
+    if open_lists is not None:
+        entries = entries.join(open_lists, "value", "left_semi")
+    leaders = entries.groupBy("value").agg(F.min("l").alias("leader"))
+    of = entries.select("often", "value").join(leaders, "value").select("often", F.col("leader.v").alias("b"), F.col("leader.n").alias("m")).distinct()
+    return ordered(long.select(F.col("v").alias("a"), "n", "often").join(of, "often").filter(sizes_near("m", "n")))
 
 
-def labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    return listed.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
+    return long.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def largest(listed: DataFrame) -> DataFrame:
-    """(value, top, least): of each long list with several components, the largest and the number of texts."""
-    sums = listed.groupBy("value", "component").agg(F.count("*").alias("count"))
+def entries_of(now: DataFrame) -> DataFrame:
+    """(often, component, value, count): texts of one component that are listed under the same values, in each of their lists."""
+    return now.groupBy("often", "component").agg(F.count("*").alias("count")).select("often", "component", "count", F.explode("often").alias("value"))
+
+
+def largest(now: DataFrame) -> DataFrame:
+    """(value, top, texts, parts): of each long list with several components, the largest and the number of texts."""
+    sums = entries_of(now).groupBy("value", "component").agg(F.sum("count").alias("count"))
     return sums.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("texts"), F.count("*").alias("parts")).filter("parts > 1")
 
 
-def rest_pairs(listed: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs across the components of a long list, each at the least common value that both are listed under: texts outside the largest component with all others."""
-    of = listed.join(tops.select("value", F.col("top.component").alias("top")), "value")
-    outside = of.filter("component != top").select("value", F.col("v").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("often").alias("o"))
-    across = (F.col("c") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a") < F.col("v")))
+def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs across the components of a long list, each at the least common value that both are listed under: texts outside the largest component with all others. Lists meet as entries; texts take their entries' places last."""
+    of = entries_of(now).join(tops.select("value", F.col("top.component").alias("top")), "value")
+    outside = of.filter("component != top").select("value", F.col("often").alias("o"), F.col("component").alias("c"))
     once = F.array_min(F.array_intersect("o", "often")) == F.col("value")
-    return ordered(outside.join(of, "value").filter(across & sizes_near("m", "n") & once).select("a", F.col("v").alias("b")))
+    met = outside.join(of, "value").filter((F.col("c") != F.col("component")) & once).select("o", "c", "often", "component", (F.col("component") == F.col("top")).alias("is_top"))
+    a = now.select(F.col("often").alias("o"), F.col("component").alias("c"), F.col("v").alias("a"), F.col("n").alias("m"))
+    both = met.join(a, ["o", "c"]).join(now.select("often", "component", "v", "n"), ["often", "component"])
+    return ordered(both.filter((F.col("is_top") | (F.col("a") < F.col("v"))) & sizes_near("m", "n")).select("a", F.col("v").alias("b")))
 
 
 def common_values(sketches: DataFrame, common: int, most: int = COMMON_VALUES) -> np.ndarray:
@@ -200,20 +212,19 @@ def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: st
     few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     texts = written(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("v"), F.col(text_col).alias("text")).join(few, "v", "left_semi"), "texts")
     near = written(confirmed(pairs, texts), "links")
-    listed = long.select("v", "n", "often", F.explode("often").alias("value"))
-    n_listed = listed.count()
+    n_listed = long.agg(F.sum(F.size("often"))).first()[0] or 0
     if not n_listed:
         return components(near)
-    tried = None
+    tried = now = tops = None
     for turn in range(ROUNDS):
-        again = leader_pairs(listed, turn)
+        again = leader_pairs(long, turn, None if tops is None else tops.select("value"))
         if tried is not None:
             again = again.join(tried, ["a", "b"], "left_anti")
         again = written(estimated(again, sketches), "pairs")
         near = near.union(written(confirmed(again, texts), "links"))
         tried = again if tried is None else tried.union(again)
-        now = written(labelled(listed, written(components(near), "components")), "listed")
-        tops = written(largest(now), "largest")
+        now = written(labelled(long, components(near)), "listed", replaces=now)
+        tops = written(largest(now), "largest", replaces=tops)
         left = tops.agg(F.sum(F.col("texts") * (F.col("texts") - F.col("top.count")))).first()[0] or 0
         if left <= PAIRS * n_listed:
             break

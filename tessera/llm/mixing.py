@@ -160,6 +160,15 @@ def mix(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5
     return take(rows, plan), sizes, wanted
 
 
+def spread(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5, cap: int = 2, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole: texts aren't cut. Rows without words go; rows alike in id, size and sources come as often as the one taken most."""
+    taken, _, _ = mix(docs, size, groups, weigh, share, cap, seed, id_col)
+    often = taken.filter("taken > 0").groupBy("id", "size", "pattern").agg(F.floor(F.max("taken") / F.col("size") + 0.5).cast("int").alias("mix_times"))
+    often = often.filter("mix_times > 0").select(F.col("id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("pattern").alias("mix_pattern"), "mix_times")
+    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & (size == F.col("mix_size")) & pattern_of(groups).eqNullSafe(F.col("mix_pattern"))
+    return docs.join(often, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_times")).alias("mix_copy")).drop("mix_copy")
+
+
 def by_order(weights: tuple = (5, 2, 1)):
     """Weights that repeat over the sources by code point, null last."""
 
