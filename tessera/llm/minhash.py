@@ -10,11 +10,12 @@ texts. Links make components.
 Values in more than ``common`` sketches (passages that many texts share, large
 groups of near copies) would give lists whose pairs grow with the square. The
 order of values puts them last: a text that has enough rarer values is found by
-these. A text made mostly of common values is in long lists as well, which are
-worked off in rounds: each list compares all its texts with one leader, near ones
-join the leader's component, and when components have grown together the pairs
-across the components that are left in a list are compared in full. So nothing
-is capped and no list emits all its pairs.
+these. A text made mostly of common values is in long lists as well, with a
+``WIDE`` sketch. Long lists are worked off in rounds: each list compares its
+texts with one leader, the text with most common values, and near ones join the
+leader's component. Texts that are left outside a list's largest component are
+then compared with all others of the list within the join, so that only near
+pairs come out of it. Nothing is capped and no list emits all its pairs.
 
 Cases: a null text is empty; a text without words has no set and is linked with
 nothing. A null id is the least. Rows that share an id are one document, linked
@@ -46,8 +47,10 @@ COMMON_VALUES = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: Pairs with a lower estimate aren't confirmed: 6 standard deviations below 0.75 for SKETCH values.
 ESTIMATE = 0.42
+#: Values of the sketch that texts in long lists have (sets of as many are whole), and the estimate that it asks for: 6 standard deviations below 0.75.
+WIDE, WIDE_ESTIMATE = 256, 0.58
 #: Rounds of leaders, and pairs for each listed text that the last comparison may have before another round is made.
-ROUNDS, PAIRS = 4, 30
+ROUNDS, PAIRS = 4, 4
 NO_ID = -(1 << 63)
 ROWS = 256
 
@@ -92,13 +95,14 @@ def listing(common: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare, often = [], []
+            rare, often, score = [], [], []
             for values in batch.column(2):
                 x = np.asarray(values.values, dtype=np.int64)
                 is_common = np.isin(x, common, assume_unique=True)
                 rare.append(x[~is_common][:KEPT])
                 often.append(x[is_common][:KEPT] if 2 * is_common.sum() > len(x) else x[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(rare), lists_of(often)], names=["v", "n", "rare", "often"])
+                score.append(int(is_common.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int32()), lists_of(rare), lists_of(often)], names=["v", "n", "score", "rare", "often"])
 
     return run
 
@@ -140,10 +144,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(confirming, "a long, b long").distinct()
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-
-
 def rare_pairs(posts: DataFrame) -> DataFrame:
     """Pairs that share a value which isn't common; such a list has ``common`` texts at most."""
     listed = posts.select("v", "n", F.explode("rare").alias("value"))
@@ -151,15 +151,37 @@ def rare_pairs(posts: DataFrame) -> DataFrame:
     return listed.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
 
 
-def leader_pairs(long: DataFrame, turn: int, open_lists: DataFrame | None = None) -> DataFrame:
-    """In each long list, its texts with a leader that the turn chooses. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("order"), "v", "n")).alias("l")
-    entries = long.groupBy("often").agg(first).select("often", "l", F.explode("often").alias("value"))
-    if open_lists is not None:
-        entries = entries.join(open_lists, "value", "left_semi")
-    leaders = entries.groupBy("value").agg(F.min("l").alias("leader"))
-    of = entries.select("often", "value").join(leaders, "value").select("often", F.col("leader.v").alias("b"), F.col("leader.n").alias("m")).distinct()
-    return ordered(long.select(F.col("v").alias("a"), "n", "often").join(of, "often").filter(sizes_near("m", "n")))
+def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, n, score, often, text) with the wide sketch in place of the text."""
+    for batch in batches:
+        sets = [shingle_set(t or b"") for t in batch.column(4).cast(pa.binary()).to_pylist()]
+        sizes = pa.array([len(s) for s in sets], pa.int64())  # rows that share an id can have met another's text
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *batch.columns[2:4], lists_of([s[:WIDE] for s in sets])], names=["v", "n", "score", "often", "wide"])
+
+
+def wide_near(x: str, y: str, m: str, n: str) -> Column:
+    """Whether wide sketches say that two sets of m and n values may be near; they decide it if both sets are whole."""
+    shared = F.size(F.array_intersect(x, y))
+    union = F.slice(F.sort_array(F.array_union(x, y)), 1, WIDE)
+    estimate = F.size(F.array_intersect(F.array_intersect(x, y), union)) / F.size(union)
+    whole = (F.col(m) <= WIDE) & (F.col(n) <= WIDE)
+    return sizes_near(m, n) & F.when(whole, 100 * shared >= 75 * (F.col(m) + F.col(n) - shared)).otherwise(estimate >= WIDE_ESTIMATE)
+
+
+def leader_pairs(now: DataFrame, turn: int, tops: DataFrame | None = None) -> DataFrame:
+    """(a, b, sure): in each long list, its texts that may be near the list's leader. The leader has the most common values of the list; with ``tops``, of its texts outside the largest component. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
+    leader = F.struct((-F.col("score")).alias("low"), F.xxhash64(F.lit(turn), "v").alias("order"), "v")
+    keys = ["often"] if tops is None else ["often", "component"]
+    entries = now.groupBy(*keys).agg(F.min(leader).alias("l")).select(*keys, "l", F.explode("often").alias("value"))
+    if tops is not None:
+        entries = entries.join(tops.select("value", F.col("top.component").alias("top")), "value")
+        leaders = entries.filter("component != top").groupBy("value").agg(F.min("l").alias("leader"))
+    else:
+        leaders = entries.groupBy("value").agg(F.min("l").alias("leader"))
+    of = entries.select("often", "value").join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
+    of = of.join(now.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
+    met = now.select(F.col("v").alias("a"), "n", "often", F.col("wide").alias("x")).join(of, (now["often"] == of["often"]) & (F.col("a") != F.col("b")) & wide_near("x", "y", "n", "m"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")).distinct()
 
 
 def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,14 +200,13 @@ def largest(now: DataFrame) -> DataFrame:
 
 
 def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs across the components of a long list, each at the least common value that both are listed under: texts outside the largest component with all others. Lists meet as entries; texts take their entries' places last."""
-    of = entries_of(now).join(tops.select("value", F.col("top.component").alias("top")), "value")
-    outside = of.filter("component != top").select("value", F.col("often").alias("o"), F.col("component").alias("c"))
+    """(a, b, sure): pairs across the components of a long list that may be near, each at the least common value that both are listed under: texts outside the largest component with all others. The join compares the sketches, so other pairs never become rows."""
+    of = now.select("v", "n", "component", "often", "wide", F.explode("often").alias("value")).join(tops.select("value", F.col("top.component").alias("top")), "value")
+    outside = of.filter("component != top").select(F.col("value").alias("at"), F.col("v").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("often").alias("o"), F.col("wide").alias("x"))
+    across = (F.col("c") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a") < F.col("v")))
     once = F.array_min(F.array_intersect("o", "often")) == F.col("value")
-    met = outside.join(of, "value").filter((F.col("c") != F.col("component")) & once).select("o", "c", "often", "component", (F.col("component") == F.col("top")).alias("is_top"))
-    a = now.select(F.col("often").alias("o"), F.col("component").alias("c"), F.col("v").alias("a"), F.col("n").alias("m"))
-    both = met.join(a, ["o", "c"]).join(now.select("often", "component", "v", "n"), ["often", "component"])
-    return ordered(both.filter((F.col("is_top") | (F.col("a") < F.col("v"))) & sizes_near("m", "n")).select("a", F.col("v").alias("b")))
+    met = outside.join(of, (F.col("at") == F.col("value")) & across & sizes_near("m", "n") & once & wide_near("x", "wide", "m", "n"))
+    return met.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"), ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")).distinct()
 
 
 def common_values(sketches: DataFrame, common: int, most: int = COMMON_VALUES) -> np.ndarray:
@@ -205,7 +226,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(v, component) over the classes' documents, from sketches (v, n, sketch)."""
-    posts = written(sketches.mapInArrow(listing(common_values(sketches, common)), "v long, n long, rare array<long>, often array<long>"), "posts")
+    posts = written(sketches.select("v", "n", "sketch").mapInArrow(listing(common_values(sketches, common)), "v long, n long, score int, rare array<long>, often array<long>"), "posts")
     pairs = written(estimated(rare_pairs(posts), sketches), "pairs")
     long = posts.filter(F.size("often") > 0)
     needed = written(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long.select("v")).distinct(), "needed")
@@ -215,22 +236,25 @@ def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: st
     n_listed = long.agg(F.sum(F.size("often"))).first()[0] or 0
     if not n_listed:
         return components(near)
-    tried = now = tops = None
+    wide = long.select("v", "n", "score", "often").join(texts, "v").select("v", "n", "score", "often", "text")
+    long = written(wide.mapInArrow(widened, "v long, n long, score int, often array<long>, wide array<long>"), "long")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        unsure = written(confirmed(pairs.filter("NOT sure").select("a", "b"), texts), "links")
+        return pairs.filter("sure").select("a", "b").union(unsure)
+
+    now, tops, left = long, None, 0
     for turn in range(ROUNDS):
-        again = leader_pairs(long, turn, None if tops is None else tops.select("value"))
-        if tried is not None:
-            again = again.join(tried, ["a", "b"], "left_anti")
-        again = written(estimated(again, sketches), "pairs")
-        near = near.union(written(confirmed(again, texts), "links"))
-        tried = again if tried is None else tried.union(again)
-        now = written(labelled(long, components(near)), "listed", replaces=now)
+        near = near.union(linked(leader_pairs(now, turn, tops)))
+        # the first is ``long`` itself, which every round reads
+        now = written(labelled(long, components(near)), "listed", replaces=now if turn else None)
         tops = written(largest(now), "largest", replaces=tops)
         left = tops.agg(F.sum(F.col("texts") * (F.col("texts") - F.col("top.count")))).first()[0] or 0
         if left <= PAIRS * n_listed:
             break
     if left:
-        rest = estimated(rest_pairs(now, tops).join(tried, ["a", "b"], "left_anti"), sketches)
-        near = near.union(written(confirmed(rest, texts), "links"))
+        near = near.union(linked(rest_pairs(now, tops)))
     return components(near)
 
 
