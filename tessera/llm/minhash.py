@@ -50,7 +50,7 @@ ESTIMATE = 0.42
 #: Values of the sketch that texts in long lists have (sets of as many are whole), and the estimate that it asks for: 6 standard deviations below 0.75.
 WIDE, WIDE_ESTIMATE = 256, 0.58
 #: Rounds of leaders, and pairs for each listed text that the last comparison may have before another round is made.
-ROUNDS, PAIRS = 4, 4
+ROUNDS, PAIRS = 2, 4
 NO_ID = -(1 << 63)
 ROWS = 256
 
