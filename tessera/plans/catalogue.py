@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import joins
+from tessera.plans import relational
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(relational.QUERIES)
+ORACLES: dict[str, str] = dict(relational.ORACLES)
 
 
 def customer_revenue_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +35,66 @@ SELECT c_custkey, c_name, revenue FROM (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey ORDER BY 2 DESC, 1 LIMIT 10
 ) JOIN customer ON o_custkey = c_custkey
 """
+
+
+def asof_purchase_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's latest view before it."""
+    events = table(spark, sf_dir, "events")
+    purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return joins.asof(purchases, views, ["user_id"], "ts", "view_id").select("event_id", "view_id_asof")
+
+
+QUERIES["asof_purchase_view"] = asof_purchase_view
+ORACLES["asof_purchase_view"] = """
+SELECT p.event_id, v.event_id AS view_id_asof FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
+"""
+
+
+def range_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and errors at most two minutes apart, whoever they are of."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    purchases = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("at").alias("a"))
+    errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error"), F.col("at").alias("b"))
+    return joins.within_range(purchases, errors, "a", "b", 120).select("purchase", "error")
+
+
+QUERIES["range_join_events"] = range_join_events
+ORACLES["range_join_events"] = """
+SELECT p.event_id AS purchase, e.event_id AS error FROM events p JOIN events e
+ON abs(floor(epoch(p.ts)) - floor(epoch(e.ts))) <= 120 WHERE p.event_type = 'purchase' AND e.event_type = 'error'
+"""
+
+
+def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by nation of their supplier, with the hot suppliers spread."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    return joins.salted(lines, suppliers, "k").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+
+
+QUERIES["salted_join"] = salted_join
+ORACLES["salted_join"] = "SELECT s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey"
+
+
+def upsert_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after those in debt are set to zero and the buildings' are deleted."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    changes = customer.filter("c_acctbal < 0 OR c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.lit(0.0))
+    return joins.upsert(customer, changes, ["c_custkey"], F.col("c_mktsegment") == "BUILDING")
+
+
+QUERIES["upsert_balances"] = upsert_balances
+ORACLES["upsert_balances"] = "SELECT c_custkey, greatest(c_acctbal, 0.0::double) AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'"
+
+
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations under each other, columns by name, absent ones null."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), "r_regionkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return regions.unionByName(nations, allowMissingColumns=True)
+
+
+QUERIES["union_by_name"] = union_by_name
+ORACLES["union_by_name"] = "SELECT r_name AS name, r_regionkey, n_nationkey FROM region LEFT JOIN (SELECT NULL::int AS n_nationkey) ON true UNION ALL SELECT n_name, NULL, n_nationkey FROM nation"
