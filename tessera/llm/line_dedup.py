@@ -12,8 +12,9 @@ a compressed bitmap of kept lines, never text.
 
 Cases: a null or empty text is one empty line. A key of no code points is never
 dropped. Equal lines of one document count as one document. Rows that repeat a
-document id count as one document and share its bitmap. Only the id and text
-columns are read; an empty table gives no rows.
+document id count as one document and share its bitmap; so do rows whose id is
+null. Ids are whole numbers or text. Only the id and text columns are read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from tessera.llm.common import LOWER, SPACES, UPPER, checkpointed, text_or_empty
 
+#: Stand for a null id: rows carry no nulls to the passes over partitions.
+NO_ID, NO_NAME = -(1 << 63), "\0"
 RUN = "h1 long, h2 long, docs long, part int, last boolean"
 
 
@@ -38,9 +41,14 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
+def document_key(docs: DataFrame, id_col: str) -> Column:
+    """A document's id, which is never null."""
+    return F.coalesce(F.col(id_col), F.lit(NO_NAME if isinstance(docs.schema[id_col].dataType, StringType) else NO_ID))
+
+
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, doc, pos) of each line with a key."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
+    lines = docs.select(document_key(docs, id_col).alias("doc"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
     key = line_key(F.col("line"))
     return lines.select("doc", "pos", key.alias("key")).filter("key != ''").select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
 
@@ -149,7 +157,7 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
 
 
 def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dropped): for each document that loses lines, the compressed bitmap of these."""
+    """(id, dropped): for each document that loses lines, the compressed bitmap of these. The id is the document's key."""
     spark = docs.sparkSession
     lines = hashed_lines(docs, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,7 +169,7 @@ def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_co
         if (r.h1, r.h2) in shared:
             begun.add((r.part, r.h1, r.h2))
         shared[r.h1, r.h2] = shared.get((r.h1, r.h2), 0) + r.docs
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = dealt.schema["doc"].dataType.simpleString()
     drops = dealt.mapInArrow(marker(shared, begun, min_docs, keep_first), f"doc {kind}, pos int")
     return drops.groupBy("doc").agg(F.collect_list("pos").alias("pos")).select(F.col("doc").alias(id_col), packed("pos").alias("dropped"))
 
@@ -169,7 +177,8 @@ def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_co
 def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with ``text_col`` as kept and further columns n_lines (before), n_dropped. Columns of these names are replaced."""
     docs = docs.drop("n_lines", "n_dropped", "dropped")
-    joined = docs.join(dropped, id_col, "left")
+    of = dropped.select(F.col(id_col).alias("dropped_of"), "dropped")
+    joined = docs.join(of, document_key(docs, id_col) == of["dropped_of"], "left").drop(of["dropped_of"])
     names = docs.columns
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
     at_text, at_bitmap = joined.columns.index(text_col), joined.columns.index("dropped")

@@ -50,5 +50,18 @@ def test_query_on_whole_table(spark):
     assert "op2_line_dedup" in ORACLES
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_null_ids_are_one_document(spark, kind):
+    big = 2**60 if kind == "long" else 0
+    docs = [(i + big, f"hot\nown {i}") for i in range(9)] + [(None, "hot\na"), (None, "b\nHot")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "3 AS dropped_of").coalesce(1)
+    out = line_dedup.dedup(df)
+    assert out.schema["doc_id"].dataType.simpleString().replace("bigint", "long") == kind and "dropped_of" in out.columns
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in out.collect())
+    # rows of no id share the bitmap: lines 0 and 1 go
+    assert got == sorted([(str(i), 2, 1) for i, _ in docs[:9]] + [("None", 2, 2)] * 2)
+    assert line_dedup.dedup(df.filter("text != 'b\nHot' AND doc_id IS NULL OR text LIKE '%own 1'")).agg({"n_dropped": "sum"}).first()[0] == 0
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
