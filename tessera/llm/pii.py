@@ -69,6 +69,12 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def octet(digits: str) -> bool:
+    """Whether the number is at most 255; zeros may lead it, however many."""
+    value = digits.lstrip("0")
+    return len(value) < 4 and int(value or "0") <= 255
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -89,7 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", *x) for x in emails(text)] if "@" in text else []
     if not _digit.search(text):
         return found
-    found += [("ip", *m.span()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", *m.span()) for m in _ip.finditer(text) if all(octet(p) for p in m[0].split("."))]
     found += [("card", *m.span()) for m in _chain.finditer(text) if 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", *m.span()) for m in _plus.finditer(text) if 8 <= len(digits_of(m[0])) <= 15]

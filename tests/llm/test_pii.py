@@ -26,6 +26,12 @@ def test_base_spans_match_plain_expressions(text):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_long_numbers():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.{zeros}.2.255 x") == [("ip", 0, 12008)]
+    assert pii.base_spans(f"{zeros}256.1.2.3") == [] and pii.spans("7" * 20_000) == []
+
+
 def test_cards_and_accounts():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     found = pii.spans("pay DE89 3704 0044 0532 0130 00 now, card 378282246310005; id 378282246310005x")
