@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix takes its words: whole repeats as rows of their own, a cut one by its first words; none of them: it goes."""
+    """Takes each document as often as the mix takes its words, to the nearest whole, repeats as rows of their own; none: it goes. Texts aren't cut."""
     docs = columns_of(docs)
     size = F.size(words(text_or_empty())).cast("long")
     return columns_of(mixing.spread(docs, size, F.array("source"), mixing.by_order()))
