@@ -2,10 +2,13 @@
 
 The lexicon comes from labelled texts: words, and stems that inflected words
 begin with, that toxic texts have far more often than others, chosen by
-covering the toxic texts again and again. Its trie is intersected with
+covering the toxic texts again and again; where a stem tells no more than a
+word, the word is taken, and the words of a stem that is taken are entries too,
+as stems are read without edits. Its trie is intersected with
 Levenshtein automata: a state is the set of trie places with the edits spent, and
 transitions are worked out once and kept, so a word costs a look-up for each
-letter until its state dies. Around each hit a window of text tells quotation
+letter until its state dies. An entry that clean texts have words near to is read
+without edits. Around each hit a window of text tells quotation
 (quote signs on both sides, words of reporting) from abuse. Scores come from a
 logistic model of the weighed hits.
 
@@ -33,13 +36,15 @@ from tessera.llm.common import written
 
 #: Labelled rows that the lexicon and the model are learned from, at most; chosen by a hash of the id.
 SAMPLE = 20_000
-#: Keys that lexicon entries are chosen from, and entries, at most.
+#: Keys that lexicon entries are chosen from, and entries, at most, besides the words among the keys that begin with a chosen stem.
 CANDIDATES, ENTRIES = 4_000, 300
 #: Shortest and longest stem; letters from which one edit, or two, are a misspelling.
 STEM = (4, 8)
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Code points on either side of a hit that tell quotation.
 WINDOW = 80
+#: Logarithm of how much more often toxic texts have an entry than others, at least.
+LIFT = 2
 #: Toxic texts are covered until each has so many entries.
 COVER = 3
 ROWS = 512
@@ -55,7 +60,8 @@ DEAD = 0
 class Automaton:
     """The trie of the entries, intersected with the Levenshtein automata of the words that it reads."""
 
-    def __init__(self, entries: list[str]) -> None:
+    def __init__(self, entries: list[str], exact: frozenset[int] = frozenset()) -> None:
+        """exact: entries that are read without edits."""
         self.children: list[dict[str, int]] = [{}]
         self.end: dict[int, int] = {}
         self.stem: dict[int, int] = {}
@@ -71,7 +77,7 @@ class Automaton:
                 self.stem[node] = k
             else:
                 self.end[node] = k
-                self.limit[node] = (len(word) >= ONE_EDIT) + (len(word) >= TWO_EDITS)
+                self.limit[node] = 0 if k in exact else (len(word) >= ONE_EDIT) + (len(word) >= TWO_EDITS)
         # edits that can still end at an entry below a place
         self.most = [0] * len(self.children)
         for node in reversed(range(len(self.children))):
@@ -157,19 +163,26 @@ def quoted(text: str, start: int, end: int) -> bool:
 class Model:
     entries: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
-    mean: list[float] = field(default_factory=lambda: [0.0] * 6)
-    scale: list[float] = field(default_factory=lambda: [1.0] * 6)
-    slopes: list[float] = field(default_factory=lambda: [0.0] * 6)
+    #: Weights of misspelled entries; 0: the entry is read without edits.
+    missed: list[float] = field(default_factory=list)
+    mean: list[float] = field(default_factory=lambda: [0.0] * 5)
+    scale: list[float] = field(default_factory=lambda: [1.0] * 5)
+    slopes: list[float] = field(default_factory=lambda: [0.0] * 5)
     bias: float = -20.0
 
     def __post_init__(self) -> None:
-        self.automaton = Automaton(self.entries)
+        self.automaton = Automaton(self.entries, frozenset(k for k, v in enumerate(self.missed) if not v))
 
     def __reduce__(self):
-        return Model, (self.entries, self.weights, self.mean, self.scale, self.slopes, self.bias)
+        return Model, (self.entries, self.weights, self.missed, self.mean, self.scale, self.slopes, self.bias)
+
+    def found(self, text: str) -> set[int]:
+        """The entries in a text, misspelled ones too."""
+        hits = map(self.automaton.match, set(_word.findall(text.lower())))
+        return {hit[1] for hit in hits if hit is not None}
 
     def features(self, text: str) -> list[float]:
-        """Weighed hits that are abuse, that are misspelled, that are quoted; different entries; hits for each word; words."""
+        """Weighed hits that are abuse, that are quoted, both on a scale of logarithms; whether any is abuse, as one term is enough; hits for each word; words."""
         lowered = text.lower()
         tokens = _word.findall(lowered)
         match, found = self.automaton.match, {}
@@ -177,17 +190,16 @@ class Model:
             if (hit := match(word)) is not None:
                 found[word] = hit
         if not found:
-            return [0.0, 0.0, 0.0, 0.0, 0.0, math.log1p(len(tokens))]
-        plain, misspelled, cited = Counter(), Counter(), Counter()
+            return [0.0, 0.0, 0.0, 0.0, math.log1p(len(tokens))]
+        abuse, cited = Counter(), Counter()
         signs = any(c in lowered for c in "\"“„«‘'")
         for m in _word.finditer(lowered):
             if m[0] in found:
                 edits, entry = found[m[0]]
-                kind = cited if signs and quoted(lowered, *m.span()) else misspelled if edits else plain
-                kind[entry] += 1
-        weighed = [sum(self.weights[k] * math.log1p(n) for k, n in kind.items()) for kind in (plain, misspelled, cited)]
-        hits = sum(plain.values()) + sum(misspelled.values())
-        return [*weighed, float(len(plain)), hits / len(tokens), math.log1p(len(tokens))]
+                kind = cited if signs and quoted(lowered, *m.span()) else abuse
+                kind[entry, edits > 0] += 1
+        weighed = [sum((self.missed if misspelled else self.weights)[k] * math.log1p(n) for (k, misspelled), n in kind.items()) for kind in (abuse, cited)]
+        return [*map(math.log1p, weighed), float(bool(abuse)), sum(abuse.values()) / len(tokens), math.log1p(len(tokens))]
 
     def score(self, text: str) -> float:
         z = self.bias + sum(s * (x - m) / d for s, x, m, d in zip(self.slopes, self.features(text), self.mean, self.scale))
@@ -206,28 +218,55 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([other[k] for k in part], pa.int64())], names=["key", "toxic", "other"])
 
 
+def nested(keys: list[str]) -> list[list[int]]:
+    """For each key, the stems that it begins with and, for a stem, the keys that begin with it."""
+    stems = {key[:-1]: k for k, key in enumerate(keys) if key.endswith("*")}
+    out: list[list[int]] = [[] for _ in keys]
+    for k, key in enumerate(keys):
+        letters = key.rstrip("*")
+        for n in range(STEM[0], min(STEM[1], len(letters)) + 1):
+            if (j := stems.get(letters[:n], k)) != k:
+                out[k].append(j)
+                out[j].append(k)
+    return out
+
+
 def choose(candidates: list[tuple[str, int, int]], texts: list[list[int]], n_toxic: int, n_other: int) -> tuple[list[str], list[float]]:
-    """Entries that cover the toxic texts (each a list of candidates' numbers) COVER times, those with most weight on uncovered texts first."""
+    """Entries that cover the toxic texts (each a list of candidates' numbers) COVER times, those with most weight on uncovered texts first, and of equal ones that of most letters; nested ones count once for a text. The candidates that are words of a chosen stem follow, so that they are read with edits too, and, as far as ENTRIES goes, the other words, which texts covered by others have."""
+    keys = [key for key, _, _ in candidates]
     odds = [math.log((t + 0.5) / (n_toxic + 1)) - math.log((o + 0.5) / (n_other + 1)) for _, t, o in candidates]
-    inside: list[list[int]] = [[] for _ in candidates]
+    related, size = nested(keys), [(len(key.rstrip("*")), not key.endswith("*"), key) for key in keys]
+    inside: list[set[int]] = [set() for _ in candidates]
     for i, found in enumerate(texts):
         for k in found:
-            inside[k].append(i)
-    need, entries, weights = [COVER] * len(texts), [], []
-    gain = [sum(need[i] for i in inside[k]) * odds[k] for k in range(len(candidates))]
-    while len(entries) < ENTRIES and gain:
-        k = max(range(len(gain)), key=lambda j: (gain[j], -len(candidates[j][0]), candidates[j][0]))
-        if sum(need[i] > 0 for i in inside[k]) < 3:
+            inside[k].add(i)
+    need, chosen = [COVER] * len(texts), []
+    # texts that a candidate would cover, and how often these still need covering in all
+    opened, wanted = [set(found) for found in inside], [COVER * len(found) for found in inside]
+    left = set(range(len(keys)))
+    while len(chosen) < ENTRIES and left:
+        k = max(left, key=lambda j: (wanted[j] * odds[j], size[j]))
+        if len(opened[k]) < 3:
             break
-        entries.append(candidates[k][0])
-        weights.append(min(odds[k], 6.0))
-        for i in inside[k]:
-            if need[i]:
-                need[i] -= 1
-                for j in texts[i]:
-                    gain[j] -= odds[j]
-        gain[k] = -1.0
-    return entries, weights
+        chosen.append(k)
+        left.remove(k)
+        for i in sorted(opened[k]):
+            need[i] -= 1
+            for j in texts[i]:
+                if i in opened[j]:
+                    wanted[j] -= 1
+                    if not need[i]:
+                        opened[j].remove(i)
+        for j in related[k]:
+            for i in opened[j] & inside[k]:
+                wanted[j] -= need[i]
+                opened[j].remove(i)
+    words = (j for k in chosen if keys[k].endswith("*") for j in related[k] if not keys[j].endswith("*"))
+    entries = list(dict.fromkeys([*chosen, *words]))
+    taken = set(entries)
+    others = [k for k, key in enumerate(keys) if k not in taken and not key.endswith("*")]
+    entries += others[: max(0, ENTRIES - len(entries))]
+    return [keys[k] for k in entries], [min(odds[k], 6.0) for k in entries]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[list[float], list[float], list[float], float]:
@@ -256,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return Model(bias=30.0 if n_toxic else -30.0)
     counts = texts.mapInArrow(counted, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
-    often = counts.filter(F.col("toxic") >= max(3, n_toxic // 500)).withColumn("lift", lift).filter("lift > 2")
+    often = counts.filter(F.col("toxic") >= max(3, n_toxic // 500)).withColumn("lift", lift).filter(F.col("lift") > LIFT)
     candidates = [(r.key, r.toxic, r.other) for r in often.orderBy(F.desc(F.col("lift") * F.col("toxic")), F.length("key"), "key").limit(CANDIDATES).collect()]
     number = {key: k for k, (key, _, _) in enumerate(candidates)}
 
@@ -267,7 +306,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     # numbers alone, of the toxic texts of the sample
     covered = [r.found for r in texts.filter("label = 1").select("text").distinct().mapInArrow(incidence, "found array<int>").collect()]
-    draft = Model(*choose(candidates, sorted(covered), n_toxic, n_other))
+    entries, weights = choose(candidates, sorted(covered), n_toxic, n_other)
+    open_to_edits = Model(entries, weights, weights)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of this task's texts: for each entry, the toxic ones and others that have it or a misspelling of it."""
+        had = np.zeros((len(entries), 2), np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in open_to_edits.found(text or ""):
+                    had[k, 0 if label else 1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(entries)), pa.int32()), pa.array(had[:, 0]), pa.array(had[:, 1])], names=["entry", "toxic", "other"])
+
+    # labelled texts seldom have misspellings: they count as their entry as long as the words near it tell toxic texts as well
+    near_lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+    lifts = {r.entry: r.lift for r in texts.mapInArrow(near, "entry int, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).select("entry", near_lift.alias("lift")).collect()}
+    missed = [min(lifts[k], 6.0) if lifts[k] > LIFT else 0.0 for k in range(len(entries))]
+    draft = Model(entries, weights, missed)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     rows = sorted((r.x, r.label) for r in texts.mapInArrow(measured, "x array<double>, label int").collect())
-    return Model(draft.entries, draft.weights, *logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)))
+    return Model(entries, weights, missed, *logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -83,3 +83,27 @@ def test_nulls_and_tables_without_labels(spark):
     assert none.entries == [] and toxicity.score(df, none).first().score < 0.5
     assert toxicity.score(df.limit(0), model).count() == 0
     assert toxicity.score(df, model, keep=True).columns == ["doc_id", "text", "score", "label", "tox_score"]
+
+
+def one_edit(word):
+    cuts = [(word[:k], word[k:]) for k in range(len(word) + 1)]
+    return {a + b[1:] for a, b in cuts if b} | {a + c + b for a, b in cuts for c in "qz"} | {a + c + b[1:] for a, b in cuts if b for c in "qz"}
+
+
+def test_learned_words_are_read_with_edits(spark):
+    # 8 to 12 letters; each text has all of them, so that stems are as rare as the words, and stems with more texts than their words
+    terms = ["pathetic", "worthless", "disgusting", "abominationx"]
+    clean = ["worthy", "wortlaut", "pathway", "pathology", "discover", "abomasum"]
+    rows = [(i, f"you are {' '.join(terms[:3])} word{i} gruesomely" if i % 2 else f"you {terms[3]} {'grueling' if i % 4 else 'gruesome'} word{i}", 1) for i in range(60)]
+    rows += [(100 + i, f"you are a friend and a person of good will word{i}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    match = model.automaton.match
+    for term in [*terms, "gruesomely"]:
+        assert term in model.entries
+        once = one_edit(term)
+        assert all(match(w) for w in once), term
+        if len(term) >= toxicity.TWO_EDITS:
+            assert all(match(w) for v in sorted(once)[::9] for w in one_edit(v)), term
+    assert not [w for w in clean if match(w)]
+    assert model.score("you are wqrthless") > 0.5 > model.score("a worthy pathway to discover")
