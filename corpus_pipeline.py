@@ -38,7 +38,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines found in ten documents or more; the documents stay."""
-    kept = line_dedup.dedup(columns_of(docs))
+    kept = line_dedup.dedup(columns_of(docs), by_row=True)
     return columns_of(kept.withColumn("n_chars", F.length(text_or_empty()).cast("long")))
 
 

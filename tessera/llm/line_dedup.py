@@ -12,8 +12,10 @@ a compressed bitmap of kept lines, never text.
 
 Cases: a null or empty text is one empty line. A key of no code points is never
 dropped. Equal lines of one document count as one document. Rows that repeat a
-document id count as one document and share its bitmap; so do rows whose id is
-null. Ids are whole numbers or text. Only the id and text columns are read; an
+document id count as one document; so do rows whose id is null. With ``by_row``,
+as the queries have it, each of these rows loses the lines of its own text: rows
+are told apart by a 64-bit hash of the text beside the id, and rows equal in both
+lose the same lines. Without it they share one bitmap. Ids are whole numbers or text. Only the id and text columns are read; an
 empty table gives no rows.
 """
 
@@ -46,11 +48,16 @@ def document_key(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.col(id_col), F.lit(NO_NAME if isinstance(docs.schema[id_col].dataType, StringType) else NO_ID))
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc, pos) of each line with a key."""
-    lines = docs.select(document_key(docs, id_col).alias("doc"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
+def row_key(text_col: str, by_row: bool) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text_or_empty(text_col)) if by_row else F.lit(0).cast("long")
+
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, by_row: bool = False) -> DataFrame:
+    """(h1, h2, doc, pos, row) of each line with a key."""
+    lines = docs.select(document_key(docs, id_col).alias("doc"), row_key(text_col, by_row).alias("row"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
     key = line_key(F.col("line"))
-    return lines.select("doc", "pos", key.alias("key")).filter("key != ''").select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
+    return lines.select("doc", "pos", "row", key.alias("key")).filter("key != ''").select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos", "row")
 
 
 def runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -99,28 +106,28 @@ def marker(shared: dict, begun: set, min_docs: int, keep_first: bool):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held: list[np.ndarray] = []  # doc, pos of the run that goes on, while it has too few documents to be dropped
-        key, seen, doc_before, dropping = None, 0, None, False
+        held: list[np.ndarray] = []  # doc, pos, row of the run that goes on, while it has too few documents to be dropped
+        key, seen, doc_before, dropping, first = None, 0, None, False, None
 
-        def out(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos, pa.int32())], names=["doc", "pos"])
+        def out(doc: np.ndarray, pos: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos, pa.int32()), pa.array(row, pa.int64())], names=["doc", "pos", "row"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2, doc, pos = (column(batch, k) for k in range(4))
+            h1, h2, doc, pos, row = (column(batch, k) for k in range(5))
             starts = runs(h1, h2)
             drops = []
             for a, b in zip(starts, [*starts[1:], len(h1)]):
                 if (h1[a], h2[a]) != key:
                     key, seen, doc_before, held = (h1[a], h2[a]), 0, None, []
                     dropping = shared.get((int(key[0]), int(key[1])), 0) >= min_docs
-                    fresh = (part, int(key[0]), int(key[1])) not in begun
-                else:
-                    fresh = False
-                d, p = doc[a:b], pos[a:b]
+                    first = (doc[a : a + 1], pos[a : a + 1], row[a : a + 1]) if (part, int(key[0]), int(key[1])) not in begun else None
+                d, p, r = doc[a:b], pos[a:b], row[a:b]
                 if keep_first:
-                    drops.append(np.c_[d, p][1 if fresh else 0 :])
+                    rows = np.c_[d, p, r]
+                    # copies of the first row stay as it does, as they share its bitmap
+                    drops.append(rows if first is None else rows[(d != first[0]) | (p != first[1]) | (r != first[2])])
                     continue
                 seen += int((d[1:] != d[:-1]).sum()) + int(d[0] != doc_before)
                 doc_before = d[-1]
@@ -128,9 +135,9 @@ def marker(shared: dict, begun: set, min_docs: int, keep_first: bool):
                     dropping = True
                     drops += held
                     held = []
-                (drops if dropping else held).append(np.c_[d, p])
+                (drops if dropping else held).append(np.c_[d, p, r])
             if drops and len(both := np.concatenate(drops)):
-                yield out(both[:, 0].astype(doc.dtype), both[:, 1])
+                yield out(both[:, 0].astype(doc.dtype), both[:, 1], both[:, 2])
 
     return mark
 
@@ -156,12 +163,12 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
     return found
 
 
-def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dropped): for each document that loses lines, the compressed bitmap of these. The id is the document's key."""
+def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """(id, dropped_row, dropped): for each document that loses lines, the compressed bitmap of these. The id is the document's key, dropped_row that of its text."""
     spark = docs.sparkSession
-    lines = hashed_lines(docs, id_col, text_col)
+    lines = hashed_lines(docs, id_col, text_col, by_row)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(lines.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos"))
+    dealt = checkpointed(lines.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "row", "pos"))
     # at most two rows for each partition, whatever the input
     found = dealt.mapInArrow(edges, RUN).collect()
     shared, begun = {}, set()
@@ -170,15 +177,16 @@ def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_co
             begun.add((r.part, r.h1, r.h2))
         shared[r.h1, r.h2] = shared.get((r.h1, r.h2), 0) + r.docs
     kind = dealt.schema["doc"].dataType.simpleString()
-    drops = dealt.mapInArrow(marker(shared, begun, min_docs, keep_first), f"doc {kind}, pos int")
-    return drops.groupBy("doc").agg(F.collect_list("pos").alias("pos")).select(F.col("doc").alias(id_col), packed("pos").alias("dropped"))
+    drops = dealt.mapInArrow(marker(shared, begun, min_docs, keep_first), f"doc {kind}, pos int, row long")
+    return drops.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos")).select(F.col("doc").alias(id_col), F.col("row").alias("dropped_row"), packed("pos").alias("dropped"))
 
 
-def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """The documents with ``text_col`` as kept and further columns n_lines (before), n_dropped. Columns of these names are replaced."""
     docs = docs.drop("n_lines", "n_dropped", "dropped")
-    of = dropped.select(F.col(id_col).alias("dropped_of"), "dropped")
-    joined = docs.join(of, document_key(docs, id_col) == of["dropped_of"], "left").drop(of["dropped_of"])
+    of = dropped.select(F.col(id_col).alias("dropped_of"), "dropped_row", "dropped")
+    same = (document_key(docs, id_col) == of["dropped_of"]) & (row_key(text_col, by_row) == of["dropped_row"])
+    joined = docs.join(of, same, "left").drop(of["dropped_of"], of["dropped_row"])
     names = docs.columns
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
     at_text, at_bitmap = joined.columns.index(text_col), joined.columns.index("dropped")
@@ -204,6 +212,6 @@ def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col:
     return joined.mapInArrow(run, ", ".join([*kinds, "n_lines long", "n_dropped long"]))
 
 
-def dedup(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """The documents without the lines that ``bitmaps`` drops."""
-    return apply(docs, bitmaps(docs, min_docs, keep_first, id_col, text_col), id_col, text_col)
+    return apply(docs, bitmaps(docs, min_docs, keep_first, id_col, text_col, by_row), id_col, text_col, by_row)

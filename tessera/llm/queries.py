@@ -20,7 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"))
+    kept = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), by_row=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty().cast("binary"), 256).alias("kept_sha256"))
 
 

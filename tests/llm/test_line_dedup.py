@@ -63,5 +63,22 @@ def test_null_ids_are_one_document(spark, kind):
     assert line_dedup.dedup(df.filter("text != 'b\nHot' AND doc_id IS NULL OR text LIKE '%own 1'")).agg({"n_dropped": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_of_one_id_lose_only_their_own_lines(spark, tmp_path, kind):
+    docs = [(i, f"hot\nown {i}") for i in range(8)] + [(None, "hot\na"), (None, "b\nHot"), (None, "b\nHot"), (8, "c\nd\nhot"), (8, "hot\ne"), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    got = sorted((str(r.doc_id), r.n_dropped, r.text or "") for r in line_dedup.dedup(df, by_row=True).collect())
+    want = [(str(i), 1, f"own {i}") for i in range(8)] + [("None", 1, "a"), ("None", 1, "b"), ("None", 1, "b"), ("8", 1, "c\nd"), ("8", 1, "e"), ("8", 0, "")]
+    assert got == sorted(want)
+    # rows of one id are one document: nine of them, though fourteen rows
+    assert line_dedup.dedup(df.filter("doc_id IS NULL OR doc_id > 0"), by_row=True).agg({"n_dropped": "sum"}).first()[0] == 0
+    copies = df.filter("text LIKE 'b%'")
+    assert [r.n_dropped for r in line_dedup.dedup(copies, keep_first=True, by_row=True).collect()] == [0, 0]
+    if kind == "long":
+        df.write.parquet(f"{tmp_path}/documents.parquet")
+        asked = sorted((str(r.doc_id), r.n_dropped, r.kept_sha256) for r in op2_line_dedup(spark, str(tmp_path)).collect())
+        assert asked == sorted((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in want)
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
