@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources are mixed to target weights, what is left is encoded.
+"""The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources are mixed to target weights, what is left is encoded and decoded.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 and returns a DataFrame with the columns of ``documents`` (the last: tokens).
@@ -57,9 +57,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids): packed token ids of each text."""
-    ids = bpe.encode(columns_of(docs), public_tokenizers.path("byte_bpe_50k.json"), beside=("source",))
-    return ids.select("doc_id", "source", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """(doc_id, source, n_tokens, ids, decoded_sha256): packed token ids of each text, and the digest of the text that they decode to."""
+    ids = bpe.encode(columns_of(docs), public_tokenizers.path("byte_bpe_50k.json"), decoded=True, beside=("source",))
+    return ids.select("doc_id", "source", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -78,3 +79,9 @@ def test_nulls_and_empty_tables(spark):
             docs.collect()
     assert {(r.doc_id, r.text) for r in STAGE["mixing to target weights"](spark, df, FOLDER).select("doc_id", "text").collect()} <= {(3, "a few words of text"), (None, "other words that are here")}
     assert STAGE["toxicity"](spark, df, FOLDER).filter(F.col("text").isNull()).count() == 2
+
+
+def test_ids_are_decoded(spark):
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    rows = STAGE["BPE encoding"](spark, documents(spark), FOLDER).collect()
+    assert len(rows) == len(docs) and all(r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in rows)
