@@ -7,8 +7,11 @@ deleted and the two neighbouring ranks refreshed. Pre-tokens of more than
 
 Cases: a null text is empty; an empty text has no ids and decodes to "". The
 text of an added token (such as an end-of-text mark) is one id wherever it
-stands. Repeated ids of documents are separate rows. Only the id and text
-columns are read, so further columns, whatever their names, don't matter.
+stands. Of equal least ranks the leftmost merges first. A text is encoded whole,
+however long; a worker holds one text's ids at a time beside its batch. Ids of
+documents are of any type; repeated ids are separate rows. Only the id and text
+columns are read, so further columns, whatever their names, don't matter. A
+tokenizer file that asks for more than plain byte-level BPE is refused.
 """
 
 from __future__ import annotations
@@ -40,10 +43,30 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class UnsupportedTokenizer(ValueError):
+    """The tokenizer file asks for steps that aren't followed here."""
+
+
+def check(spec: dict) -> None:
+    """Refuses files whose ids would come out wrong: other models, normalizers, ways to split, merges that are passed over, added tokens that take spaces or whole words."""
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [
+        *(k for k in ("normalizer", "truncation", "padding") if spec.get(k)),
+        *(k for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)),
+        *(["model"] if model.get("type", "BPE") != "BPE" else []),
+        *(["pre_tokenizer"] if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True) else []),
+        *(["decoder"] if decoder.get("type") != "ByteLevel" else []),
+        *(f"added token {t['content']!r}" for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")),
+    ]
+    if wrong:
+        raise UnsupportedTokenizer(f"not a plain byte-level BPE: {', '.join(wrong)}")
+
+
 def read_vocabulary(path: str) -> dict:
     """Merges, ids and added tokens of a tokenizer file, as plain values (their number is the vocabulary's, whatever the corpus)."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
+    check(spec)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     return {"merges": merges, "ids": spec["model"]["vocab"], "added": {t["content"]: t["id"] for t in spec["added_tokens"]}}
 

@@ -3,17 +3,25 @@
 Base kinds (email, ip, card, phone) are found leftmost and without overlap, and
 stay whatever their score. Further spans must reach ``THRESHOLD``: account
 numbers that pass mod-97, numbers inside longer digit chains that pass Luhn
-alone, and weaker forms (13 to 15 digit cards, national telephone numbers,
-social security numbers) only beside a word that speaks of them.
+alone (unbroken runs, and windows of whole digit groups), credentials of known
+forms, and weaker forms (13 to 15 digit cards, national telephone numbers,
+social security numbers, random-looking strings) only beside a word that speaks
+of them. A random-looking string is confirmed by the entropy of its signs.
 
 Cases: a null or empty text has no spans. Equal texts have equal spans; repeated
-rows stay separate rows. Only the id and text columns are read. Scans are linear
-in the text: each expression starts at a rare sign or at the first digit of a run.
+rows stay separate rows. Of two inner cards that overlap the one that begins
+first stays, the longer of equal ones; spans of other kinds may overlap. Only
+the id (of any type) and text columns are read, so further columns don't matter,
+whatever their names. Scans are linear in the text, however long: each
+expression starts at a rare sign or at the first sign of a run.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 THRESHOLD = 0.8
 #: Code points on either side in which a context word counts.
 WINDOW = 40
@@ -36,6 +44,7 @@ CONTEXT = {
     "phone": "phone tel telephone call mobile cell fax telefon handy téléphone appelez teléfono móvil llame",
     "iban": "iban account konto compte cuenta bank banque banco",
     "ssn": "ssn social security",
+    "secret": "token secret key apikey password passwd pwd bearer authorization credential credentials passwort schlüssel jeton clé contraseña clave",
 }
 #: Lengths of account numbers by country.
 IBAN_LENGTH = {
@@ -44,8 +53,10 @@ IBAN_LENGTH = {
     "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
 }
 #: Score of a span before its neighbours are looked at; a context word adds CONTEXT_SCORE.
-SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "inner card": 0.8, "short card": 0.5, "local phone": 0.4, "ssn": 0.4}
+SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "inner card": 0.8, "short card": 0.5, "local phone": 0.4, "ssn": 0.4, "known secret": 0.9, "random string": 0.5}
 CONTEXT_SCORE = 0.4
+#: Bits for each sign that a random-looking string has at least: digits and the letters a to f give 4 at most.
+ENTROPY = 3.0
 
 _digit = re.compile(r"[0-9]")
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -56,7 +67,11 @@ _plus = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ssn = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _local_phone = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_context = {kind: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, said.split())) + r")(?!\w)", re.I) for kind, said in CONTEXT.items()}
+#: How keys of well-known services and signed web tokens begin.
+_known_secret = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_random = re.compile(r"(?<![A-Za-z0-9+/_@.-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9@])")
+#: Words are bounded by what isn't a letter, so that a word of a name such as access_token counts.
+_context = {kind: re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, said.split())) + r")(?![^\W\d_])", re.I) for kind, said in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -75,6 +90,34 @@ def octet(digits: str) -> bool:
     return len(value) < 4 and int(value or "0") <= 255
 
 
+def random_looking(text: str) -> bool:
+    """Whether a string has letters and digits and the entropy of random signs."""
+    counts = Counter(text)
+    if not any("0" <= c <= "9" for c in counts) or not any(c.isalpha() for c in counts):
+        return False
+    return sum(n * math.log2(len(text) / n) for n in counts.values()) >= ENTROPY * len(text)
+
+
+def inner_cards(chain: str) -> Iterator[tuple[int, int, str]]:
+    """Cards inside a digit chain that isn't one itself: windows of whole digit groups with 16 to 19 digits that pass Luhn, the first of overlapping ones. A group of its own counts at once, as do four groups of four; others need a context word. No more than 19 groups are looked at from each."""
+    groups = [m.span() for m in re.finditer(r"[0-9]+", chain)]
+    at = 0
+    while at < len(groups):
+        digits, top = "", None
+        for k in range(at, len(groups)):
+            digits += chain[slice(*groups[k])] if groups[k][1] - groups[k][0] <= 19 else "0" * 20
+            if len(digits) > 19:
+                break
+            if len(digits) >= 16 and luhn(digits) and (at, k) != (0, len(groups) - 1):
+                top = k
+        if top is None:
+            at += 1
+            continue
+        sizes = [b - a for a, b in groups[at : top + 1]]
+        yield groups[at][0], groups[top][1], "inner card" if len(sizes) == 1 or sizes == [4] * 4 else "short card"
+        at = top + 1
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -102,8 +145,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def secrets(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Credentials of known forms, and strings that look random."""
+    known = [m.span() for m in _known_secret.finditer(text)]
+    for span in known:
+        yield "secret", *span, "known secret"
+    ends = [e for _, e in known]
+    for m in _random.finditer(text):
+        k = bisect_right(ends, m.start())  # the first that doesn't end before
+        if not (k < len(known) and known[k][0] < m.end()) and random_looking(m[0]):
+            yield "secret", *m.span(), "random string"
+
+
 def further_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, str]]:
     """Confirmed proposals beside the base spans: kind, start, end and what it is scored as."""
+    yield from secrets(text)
     if not _digit.search(text):
         return
     taken = {(s, e) for kind, s, e in base if kind == "card"}
@@ -113,9 +169,8 @@ def further_spans(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple
         if 13 <= len(d := digits_of(m[0])) <= 15 and luhn(d):
             yield "card", *m.span(), "short card"
         elif len(d) > 16:
-            for part in re.finditer(r"[0-9]+", m[0]):  # a number that another one stands before
-                if 16 <= part.end() - part.start() <= 19 and luhn(part[0]) and part.span() != (0, len(m[0])):
-                    yield "card", m.start() + part.start(), m.start() + part.end(), "inner card"
+            for start, end, scored_as in inner_cards(m[0]):
+                yield "card", m.start() + start, m.start() + end, scored_as
     for m in _iban.finditer(text):
         if length := IBAN_LENGTH.get(m[0][:2]):
             places = [i for i, c in enumerate(m[0]) if c != " "][:length]
@@ -184,4 +239,5 @@ def digests(found: DataFrame) -> DataFrame:
         *(F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

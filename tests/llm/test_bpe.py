@@ -1,9 +1,11 @@
 """Ids and decoded texts against the public tokenizers library."""
 
 import hashlib
+import json
 import struct
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe
@@ -61,5 +63,22 @@ def test_query_on_whole_table(spark):
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_one_very_long_text(spark):
+    text = ("Ein Satz, 12 Zahlen und " + "x" * 300 + " é👍\n\n  ") * 2000 + "ab" * 5000
+    row = bpe.encode(spark.createDataFrame([("an id", text)], "doc_id string, text string"), PATH, decoded=True).first()
+    ids, decoded = expected(text)
+    assert row.doc_id == "an id" and list(bpe.unpack(bytes(row.ids))) == ids and row.decoded == decoded == text
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(bpe.UnsupportedTokenizer):
+            bpe.read_vocabulary(str(tmp_path / "t.json"))
+    with pytest.raises(bpe.UnsupportedTokenizer):
+        bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, decoded=True).count() == 0
