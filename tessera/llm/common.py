@@ -31,6 +31,8 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests, one machine) a temporary one is set."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -63,3 +65,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows with their partitions as they are, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ (in any case of letters) from the columns that there are."""
+    there, out = {n.lower() for n in taken}, []
+    for name in wanted:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out

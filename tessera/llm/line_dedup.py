@@ -12,11 +12,14 @@ a compressed bitmap of kept lines, never text.
 
 Cases: a null or empty text is one empty line. A key of no code points is never
 dropped. Equal lines of one document count as one document. Rows that repeat a
-document id count as one document; so do rows whose id is null. With ``by_row``,
-as the queries have it, each of these rows loses the lines of its own text: rows
-are told apart by a 64-bit hash of the text beside the id, and rows equal in both
-lose the same lines. Without it they share one bitmap. Ids are whole numbers or text. Only the id and text columns are read; an
-empty table gives no rows.
+document id count as one document, and so do rows whose id is null or, as that
+stands for it, the least 64-bit number; each row loses the lines of its own text
+alone, as rows are told apart by a 64-bit hash of the text beside the id. Rows
+equal in both lose the same lines. With ``keep_first`` an occurrence is the first
+by id, then row, then position. Ids are whole numbers or text. Very long texts
+are split whole, one at a time. Only the id and text columns are read; of clashing
+names, the columns n_lines and n_dropped are replaced, all others stay. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,37 +30,55 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tessera.llm.common import LOWER, SPACES, UPPER, checkpointed, text_or_empty
+from tessera.llm.common import SPACES, checkpointed, text_or_empty, unused, written
 
 #: Stand for a null id: rows carry no nulls to the passes over partitions.
 NO_ID, NO_NAME = -(1 << 63), "\0"
+ROWS = 256
 RUN = "h1 long, h2 long, docs long, part int, last boolean"
 
 
-def line_key(line: Column) -> Column:
-    """The line without spaces at its ends, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(SPACES)), UPPER, LOWER)
-
-
 def document_key(docs: DataFrame, id_col: str) -> Column:
     """A document's id, which is never null."""
     return F.coalesce(F.col(id_col), F.lit(NO_NAME if isinstance(docs.schema[id_col].dataType, StringType) else NO_ID))
 
 
-def row_key(text_col: str, by_row: bool) -> Column:
+def row_key(text_col: str) -> Column:
     """Tells rows of one id apart."""
-    return F.xxhash64(text_or_empty(text_col)) if by_row else F.lit(0).cast("long")
+    return F.xxhash64(text_or_empty(text_col))
+
 
+def line_hash(line: bytes) -> bytes | None:
+    """128 bits of a line's key: without spaces at its ends, A-Z in lower case (bytes know no other capitals); none for a key of no code points."""
+    key = line.strip(SPACES.encode()).lower()
+    return xxhash.xxh3_128_digest(key) if key else None
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str, by_row: bool = False) -> DataFrame:
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc, pos, row) of the lines of (doc, row, text)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            digests, places, counts = [], [], []
+            for text in rows.column(2).cast(pa.binary()).to_pylist():
+                found = [(k, h) for k, line in enumerate((text or b"").split(b"\n")) if (h := line_hash(line)) is not None]
+                counts.append(len(found))
+                places += [k for k, _ in found]
+                digests += [h for _, h in found]
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), rows.column(0).take(of), pa.array(places, pa.int32()), rows.column(1).take(of)], names=["h1", "h2", "doc", "pos", "row"])
+
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, doc, pos, row) of each line with a key."""
-    lines = docs.select(document_key(docs, id_col).alias("doc"), row_key(text_col, by_row).alias("row"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("pos", "line"))
-    key = line_key(F.col("line"))
-    return lines.select("doc", "pos", "row", key.alias("key")).filter("key != ''").select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos", "row")
+    rows = docs.select(document_key(docs, id_col).alias("doc"), row_key(text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {rows.schema['doc'].dataType.simpleString()}, pos int, row long")
 
 
 def runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -163,10 +184,11 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
     return found
 
 
-def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dropped_row, dropped): for each document that loses lines, the compressed bitmap of these. The id is the document's key, dropped_row that of its text."""
     spark = docs.sparkSession
-    lines = hashed_lines(docs, id_col, text_col, by_row)
+    # ranges are sampled from the hashes, not by splitting all texts once more
+    lines = written(hashed_lines(docs, id_col, text_col), "hashes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(lines.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "row", "pos"))
     # at most two rows for each partition, whatever the input
@@ -181,15 +203,15 @@ def bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_co
     return drops.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos")).select(F.col("doc").alias(id_col), F.col("row").alias("dropped_row"), packed("pos").alias("dropped"))
 
 
-def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with ``text_col`` as kept and further columns n_lines (before), n_dropped. Columns of these names are replaced."""
-    docs = docs.drop("n_lines", "n_dropped", "dropped")
-    of = dropped.select(F.col(id_col).alias("dropped_of"), "dropped_row", "dropped")
-    same = (document_key(docs, id_col) == of["dropped_of"]) & (row_key(text_col, by_row) == of["dropped_row"])
-    joined = docs.join(of, same, "left").drop(of["dropped_of"], of["dropped_row"])
+    docs = docs.drop("n_lines", "n_dropped")
+    bits, doc, row = unused(docs.columns, "dropped", "dropped_of", "dropped_row")
+    of = dropped.select(F.col(id_col).alias(doc), F.col("dropped_row").alias(row), F.col("dropped").alias(bits))
+    joined = docs.join(of, (document_key(docs, id_col) == F.col(doc)) & (row_key(text_col) == F.col(row)), "left").drop(doc, row)
     names = docs.columns
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
-    at_text, at_bitmap = joined.columns.index(text_col), joined.columns.index("dropped")
+    at_text, at_bitmap = joined.columns.index(text_col), joined.columns.index(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +234,6 @@ def apply(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col:
     return joined.mapInArrow(run, ", ".join([*kinds, "n_lines long", "n_dropped long"]))
 
 
-def dedup(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that ``bitmaps`` drops."""
-    return apply(docs, bitmaps(docs, min_docs, keep_first, id_col, text_col, by_row), id_col, text_col, by_row)
+    return apply(docs, bitmaps(docs, min_docs, keep_first, id_col, text_col), id_col, text_col)

@@ -20,7 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), by_row=True)
+    kept = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty().cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -80,15 +80,17 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
-WITH line AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+WITH rows AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+  SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rows
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
 ), often AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::int) >= 10
 )
 SELECT doc_id, count(*)::bigint AS n_lines, (count(*) FILTER (WHERE often.key IS NOT NULL))::bigint AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id
+FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id, r
 """,
 }

@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from tessera.llm import line_dedup
@@ -50,34 +51,43 @@ def test_query_on_whole_table(spark):
     assert "op2_line_dedup" in ORACLES
 
 
+def brute_rows(docs, least=10):
+    """A plain count by row: (id, n_lines, n_dropped, text) of each."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
+    where = defaultdict(set)
+    for i, text in docs:
+        for x in (text or "").split("\n"):
+            where[key(x)].add(i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(where[key(x)]) < least]
+        out.append((str(i), len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
 @pytest.mark.parametrize("kind", ["long", "int", "string"])
-def test_null_ids_are_one_document(spark, kind):
+def test_null_and_repeated_ids_lose_their_own_lines(spark, tmp_path, kind):
     big = 2**60 if kind == "long" else 0
-    docs = [(i + big, f"hot\nown {i}") for i in range(9)] + [(None, "hot\na"), (None, "b\nHot")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "3 AS dropped_of").coalesce(1)
+    docs = [(i + big, f"hot\nown {i}") for i in range(8)] + [(None, "hot\na"), (None, "b\nHot"), (None, "b\nHot"), (8, "c\nd\nhot"), (8, "hot\ne"), (8, None), (8, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "3 AS dropped_of", "'q' AS dropped", "4 AS dropped_row", "5 AS Dropped_")
     out = line_dedup.dedup(df)
-    assert out.schema["doc_id"].dataType.simpleString().replace("bigint", "long") == kind and "dropped_of" in out.columns
-    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in out.collect())
-    # rows of no id share the bitmap: lines 0 and 1 go
-    assert got == sorted([(str(i), 2, 1) for i, _ in docs[:9]] + [("None", 2, 2)] * 2)
-    assert line_dedup.dedup(df.filter("text != 'b\nHot' AND doc_id IS NULL OR text LIKE '%own 1'")).agg({"n_dropped": "sum"}).first()[0] == 0
-
-
-@pytest.mark.parametrize("kind", ["long", "string"])
-def test_rows_of_one_id_lose_only_their_own_lines(spark, tmp_path, kind):
-    docs = [(i, f"hot\nown {i}") for i in range(8)] + [(None, "hot\na"), (None, "b\nHot"), (None, "b\nHot"), (8, "c\nd\nhot"), (8, "hot\ne"), (8, None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
-    got = sorted((str(r.doc_id), r.n_dropped, r.text or "") for r in line_dedup.dedup(df, by_row=True).collect())
-    want = [(str(i), 1, f"own {i}") for i in range(8)] + [("None", 1, "a"), ("None", 1, "b"), ("None", 1, "b"), ("8", 1, "c\nd"), ("8", 1, "e"), ("8", 0, "")]
-    assert got == sorted(want)
-    # rows of one id are one document: nine of them, though fourteen rows
-    assert line_dedup.dedup(df.filter("doc_id IS NULL OR doc_id > 0"), by_row=True).agg({"n_dropped": "sum"}).first()[0] == 0
+    assert out.schema["doc_id"].dataType.simpleString().replace("bigint", "long") == kind
+    rows = out.collect()
+    assert {(r.dropped_of, r.dropped, r.dropped_row, r.Dropped_) for r in rows} == {(3, "q", 4, 5)}
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text or "") for r in rows) == brute_rows(docs)
+    # rows of one id are one document: nine of them, though fifteen rows
+    assert line_dedup.dedup(df.filter("doc_id IS NULL OR doc_id != 0")).agg({"n_dropped": "sum"}).first()[0] == (13 if kind == "long" else 0)
     copies = df.filter("text LIKE 'b%'")
-    assert [r.n_dropped for r in line_dedup.dedup(copies, keep_first=True, by_row=True).collect()] == [0, 0]
+    assert [r.n_dropped for r in line_dedup.dedup(copies, keep_first=True).collect()] == [0, 0]
     if kind == "long":
         df.write.parquet(f"{tmp_path}/documents.parquet")
-        asked = sorted((str(r.doc_id), r.n_dropped, r.kept_sha256) for r in op2_line_dedup(spark, str(tmp_path)).collect())
-        assert asked == sorted((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in want)
+        asked = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in op2_line_dedup(spark, str(tmp_path)).collect())
+        want = sorted((i, a, b, hashlib.sha256(t.encode()).hexdigest()) for i, a, b, t in brute_rows(docs))
+        assert asked == want
+        other = duckdb.connect()
+        other.sql(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted((str(i), a, b, t) for i, a, b, t in other.sql(ORACLES["op2_line_dedup"]).fetchall()) == want
 
 
 def test_empty_table(spark):
