@@ -3,19 +3,29 @@
 A store is a folder: ``data/`` holds parquet shards that are never changed,
 ``manifest/`` one JSON file for each version that lists the shards of that
 version with their sizes. ``append`` writes arrivals as they come, one small
-shard for each task, without a shuffle. ``compact`` sorts shards into tiers by
-size (each ``fan_in`` times the one below) and merges the runs of a tier with
-``fan_in`` shards or more into larger files up to the target size; merging only
-narrows partitions, so it doesn't shuffle either. A version is committed by
-renaming its manifest to a name that must not exist yet: readers see all of a
-version or nothing of it, and of two writers one fails and can try again.
-Shards of tasks that were lost or ran twice are never listed.
+shard for each task, without a shuffle; ``append_each`` writes many arrivals in
+one pass over the rows. ``compact`` sorts shards into tiers by size (each
+``fan_in`` times the one below) and merges the runs of a tier with ``fan_in``
+shards or more into larger files up to the target size; merging only narrows
+partitions, so it doesn't shuffle either.
+
+A version is committed in one step that fails if the version exists: a rename
+that doesn't replace (a hard link on a local disk) shows the whole manifest
+under its name. A writer that dies before it leaves a draft that nobody reads,
+and no lock. Of two writers one has to try again, from the newer version and
+without writing its shards again. The store needs a file system whose rename is
+atomic, as HDFS's is. Shards of tasks that were lost or ran twice are never
+listed. ``vacuum`` deletes versions before the newest ``keep`` and the shards
+that only these list, so each version that is kept can be read.
 
 Cases: nulls in any column and empty texts are kept as they are, repeated rows
 too; columns are free, as a shard's schema is the arrival's, and arrivals whose
 schemas differ are refused. An empty arrival commits a version with no new
 shards, but keeps the schema. Rows are never split, so a row of a very long text
-can make a shard larger than the target.
+can make a shard larger than the target. Of several tiers that are full the
+lowest is merged first, shards of one tier in the order of the manifest. The
+column that ``placed`` adds is named ``shard``, with underscores if the table has
+such a column.
 """
 
 from __future__ import annotations
@@ -23,16 +33,21 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.llm.common import unused
+
 #: Sizes of files, and shards of a tier that are merged at once at least.
 TARGET_BYTES = 128 << 20
 SMALLEST_TIER_BYTES = 1 << 20
 FAN_IN = 4
+#: Versions that ``vacuum`` keeps, and times that a commit is tried while others commit too.
+KEEP, TRIES = 10, 50
 
 
 class CommitConflict(RuntimeError):
@@ -64,10 +79,7 @@ class Store:
 
     def version(self) -> int:
         """The newest version; 0 if nothing has been committed."""
-        if not self._files.exists(self._at("manifest")):
-            return 0
-        names = (s.getPath().getName() for s in self._files.listStatus(self._at("manifest")))
-        return max((int(n[:12]) for n in names if n.endswith(".json") and n[:12].isdigit()), default=0)
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> tuple[list[Shard], StructType | None]:
         """Shards and schema of a version, the newest if none is named."""
@@ -91,35 +103,76 @@ class Store:
             out.write(bytearray(json.dumps(said).encode()))
         finally:
             out.close()
-        # the lock is a file that can be made once; the rename shows the whole manifest
-        lock = self._at(f"manifest/{base + 1:012d}.lock")
-        if self._files.exists(final) or not self._files.createNewFile(lock):
+        try:
+            self._show(draft, final)
+        except Exception as error:
+            if "FileAlreadyExistsException" in str(error):
+                raise CommitConflict(f"version {base + 1} of {self.path} exists") from None
+            raise
+        finally:
             self._files.delete(draft, False)
-            raise CommitConflict(f"version {base + 1} of {self.path} exists")
-        if not self._files.rename(draft, final):
-            self._files.delete(lock, False)
-            raise CommitConflict(f"version {base + 1} of {self.path} could not be renamed")
         return base + 1
 
+    def _show(self, draft, final) -> None:
+        """Gives the draft its final name in one step, which fails if that exists."""
+        jvm, place = self.spark._jvm, self._files.makeQualified(final).toUri()
+        if place.getScheme() == "file":  # a rename would replace
+            local = lambda path: jvm.java.nio.file.Path.of(self._files.makeQualified(path).toUri())
+            jvm.java.nio.file.Files.createLink(local(final), local(draft))
+        else:
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place, self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
+
+    def change(self, added: list[Shard], schema: StructType, gone: frozenset[str] = frozenset()) -> int:
+        """Commits the newest version with shards added and others gone; if another writer commits first, once more from its version, unless that has lost one of the shards."""
+        for _ in range(TRIES):
+            base = self.version()
+            shards, known = self.manifest(base)
+            if known is not None and known.simpleString() != schema.simpleString():
+                raise ValueError(f"arrivals have {schema.simpleString()}, the store {known.simpleString()}")
+            if not gone <= {s.file for s in shards}:
+                raise CommitConflict(f"another writer has merged shards of version {base} of {self.path}")
+            try:
+                return self.commit(base, [s for s in shards if s.file not in gone] + added, schema)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"others committed to {self.path} {TRIES} times")
+
     # --- shards
 
+    def _listed(self, folder: str) -> list[Shard]:
+        found = [(s.getPath().getName(), s.getLen()) for s in self._files.listStatus(self._at(folder))]
+        return [Shard(f"{folder}/{name}", size, self.tier(size)) for name, size in sorted(found) if name.startswith("part-")]
+
     def _write(self, df: DataFrame) -> list[Shard]:
         """Shards of a frame, one for each task that has rows."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
-        found = [(s.getPath().getName(), s.getLen()) for s in self._files.listStatus(self._at(folder))]
-        return [Shard(f"{folder}/{name}", size, self.tier(size)) for name, size in sorted(found) if name.startswith("part-")]
+        return self._listed(folder)
 
-    def append(self, arrivals: DataFrame) -> int:
-        """Adds rows as small shards and commits."""
-        base = self.version()
-        shards, schema = self.manifest(base)
-        wanted = StructType([f for f in arrivals.schema.fields])
+    def _refuse(self, arrivals: DataFrame) -> StructType:
+        """The schema that arrivals are committed under; raises if the store has another."""
+        wanted = StructType.fromJson(json.loads(arrivals.schema.json()))
         for field in wanted.fields:
             field.nullable = True
+        _, schema = self.manifest()
         if schema is not None and schema.simpleString() != wanted.simpleString():
             raise ValueError(f"arrivals have {wanted.simpleString()}, the store {schema.simpleString()}")
-        return self.commit(base, shards + self._write(arrivals), wanted)
+        return wanted
+
+    def append(self, arrivals: DataFrame) -> int:
+        """Adds rows as small shards and commits."""
+        schema = self._refuse(arrivals)
+        return self.change(self._write(arrivals), schema)
+
+    def append_each(self, rows: DataFrame, arrival: Column, arrivals: int) -> Iterator[int]:
+        """Commits the rows of each arrival (numbered from 0) in its order, written in one pass; yields the versions."""
+        schema = self._refuse(rows)
+        folder, (name,) = f"data/{uuid.uuid4().hex}", unused(rows.columns, "arrival")
+        rows.withColumn(name, arrival).write.partitionBy(name).parquet(f"{self.path}/{folder}")
+        for k in range(arrivals):
+            part = f"{folder}/{name}={k}"
+            yield self.change(self._listed(part) if self._files.exists(self._at(part)) else [], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
@@ -141,8 +194,8 @@ class Store:
                 tiers.setdefault(s.tier, []).append(s)
         return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fan_in), [])
 
-    def compact(self, vacuum: bool = True) -> int:
-        """Merges run after run until no tier has ``fan_in`` shards; each merge is a version. With ``vacuum``, shards that a merge replaced are deleted once it is committed."""
+    def compact(self) -> int:
+        """Merges run after run, each into files of the target size or one smaller file, until no tier has ``fan_in`` shards; each merge is a version."""
         while True:
             base = self.version()
             shards, schema = self.manifest(base)
@@ -150,34 +203,54 @@ class Store:
             if not run:
                 return base
             total = sum(s.bytes for s in run)
-            # files of fan_in shards each, of the target size at most
-            files = max(1, math.ceil(total / min(self.target_bytes, self.fan_in * total / len(run))))
+            # a run is rewritten once, however many tiers its files rise
+            files = max(1, math.ceil(total / self.target_bytes))
             merged = self._write(self._rows(run, schema).coalesce(files))
             if len(merged) >= len(run):
+                self._delete(merged)
                 return base
-            gone = {s.file for s in run}
             # a merged shard is a tier above its run, whatever its compression came to
             floor = run[0].tier + 1
-            merged = [Shard(s.file, s.bytes, max(s.tier, floor)) for s in merged]
-            self.commit(base, [s for s in shards if s.file not in gone] + merged, schema)
-            if vacuum:
-                for name in gone:
-                    self._files.delete(self._at(name), False)
+            try:
+                self.change([Shard(s.file, s.bytes, max(s.tier, floor)) for s in merged], schema, frozenset(s.file for s in run))
+            except CommitConflict:
+                self._delete(merged)
+                raise
+
+    def _delete(self, shards: list[Shard]) -> None:
+        for s in shards:
+            self._files.delete(self._at(s.file), False)
+
+    def versions(self) -> list[int]:
+        """The versions that can be read."""
+        names = (s.getPath().getName() for s in self._files.listStatus(self._at("manifest"))) if self._files.exists(self._at("manifest")) else ()
+        return sorted(int(n[:12]) for n in names if n.endswith(".json") and n[:12].isdigit())
+
+    def vacuum(self, keep: int = KEEP) -> list[int]:
+        """Deletes all versions but the newest ``keep`` and the shards that only those list; gives the versions deleted. A reader of a version that goes should have ended."""
+        found = self.versions()
+        old, kept = found[: -max(1, keep)], found[-max(1, keep) :]
+        needed = {s.file for v in kept for s in self.manifest(v)[0]}
+        gone = {s.file: s for v in old for s in self.manifest(v)[0] if s.file not in needed}
+        for v in old:  # the manifests first: no version lists a shard that isn't there
+            self._files.delete(self._at(f"manifest/{v:012d}.json"), False)
+        self._delete([*gone.values()])
+        return old
 
     def placed(self) -> DataFrame:
         """The rows of the newest version with ``shard``, the file that holds each."""
-        return self.read().withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1))
+        rows = self.read()
+        return rows.withColumn(*unused(rows.columns, "shard"), F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32}/.+)$", 1))
 
     def delete_at_end(self) -> None:
         self._files.deleteOnExit(self._at(""))
 
 
-def shard(df: DataFrame, path: str, arrivals: int = 4, id_col: str = "doc_id", **sizes) -> Store:
-    """A store of the rows, arriving in so many parts (by a hash of the id), compacted after each half of them."""
+def shard(df: DataFrame, path: str, arrivals: int = 4, id_col: str = "doc_id", keep: int = KEEP, **sizes) -> Store:
+    """A store of the rows, arriving in so many parts (by a hash of the id), compacted after each half of them; its newest ``keep`` versions stay."""
     store = Store(df.sparkSession, path, **sizes)
-    part = F.pmod(F.xxhash64(id_col), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(df.filter(part == k))
+    for k, _ in enumerate(store.append_each(df, F.pmod(F.xxhash64(id_col), F.lit(arrivals)).cast("int"), arrivals)):
         if k % 2 or k == arrivals - 1:
             store.compact()
+    store.vacuum(keep)
     return store

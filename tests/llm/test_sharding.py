@@ -20,8 +20,17 @@ def test_rows_stay_whole(spark, tmp_path):
     shards, _ = store.manifest()
     tiers = [s.tier for s in shards if s.bytes <= store.target_bytes // 2]
     assert all(tiers.count(t) < store.fan_in for t in tiers)
-    on_disk = {p.name for p in (tmp_path / "a/data").rglob("part-*") if p.is_file()}
-    assert on_disk == {s.file.split("/")[-1] for s in shards}
+    on_disk = lambda: {p.name for p in (tmp_path / "a/data").rglob("part-*") if p.is_file()}
+    found = store.versions()
+    assert len(found) > 4 and store.read(found[-1]).count() == 1000
+    assert on_disk() == {s.file.split("/")[-1] for v in found for s in store.manifest(v)[0]}
+    per_version = {v: store.read(v).count() for v in found}
+    assert sorted(per_version.values()) == [*per_version.values()]
+    # each version that is kept can be read; what only others list goes
+    assert store.vacuum(3) == found[:-3] and store.versions() == found[-3:]
+    assert {v: store.read(v).count() for v in store.versions()} == {v: per_version[v] for v in found[-3:]}
+    assert on_disk() == {s.file.split("/")[-1] for v in found[-3:] for s in store.manifest(v)[0]}
+    assert store.vacuum(1) == found[-3:-1] and on_disk() == {s.file.split("/")[-1] for s in shards}
     placed = store.placed().groupBy("shard").count().collect()
     assert {r["shard"] for r in placed} == {s.file for s in shards} and sum(r["count"] for r in placed) == 1000
 
@@ -43,6 +52,57 @@ def test_versions_are_atomic(spark, tmp_path):
     assert store.read().count() == 8
 
 
+def test_writers_that_die_or_meet(spark, tmp_path, monkeypatch):
+    store, other = (Store(spark, f"file://{tmp_path}/w", **SIZES) for _ in range(2))
+    df = spark.createDataFrame([(k, "text") for k in range(40)], "doc_id long, text string")
+    store.append(df)
+    # what a writer leaves that dies before its commit: a draft, and a lock of the kind that other stores use
+    (tmp_path / "w/manifest/.draft").write_text("{")
+    (tmp_path / f"w/manifest/{2:012d}.lock").write_text("")
+    assert store.append(df) == 2
+    # another writer commits between this one's reading and its commit
+    commit, met = Store.commit, []
+
+    def late(self, base, shards, schema):
+        if not met:
+            met.append(commit(other, base, shards, schema))
+        return commit(self, base, shards, schema)
+
+    monkeypatch.setattr(Store, "commit", late)
+    assert store.append(df.limit(1)) == 4 and met == [3] and store.read().count() == 82
+    monkeypatch.setattr(Store, "commit", commit)
+    # of two writers that merge the same shards one fails, and leaves nothing behind
+    shards, schema = store.manifest()
+    before = {p for p in (tmp_path / "w/data").rglob("part-*")}
+    monkeypatch.setattr(store, "manifest", lambda version=None: (shards, schema) if version is None else Store.manifest(store, version))
+    assert other.compact() > 4
+    after = {p for p in (tmp_path / "w/data").rglob("part-*")}
+    gone = frozenset(s.file for s in other.plan(shards))
+    assert gone and before < after
+    with pytest.raises(CommitConflict):
+        store.change([], schema, gone)
+    assert other.read().count() == 82
+
+
+def test_commit_by_rename(spark, tmp_path):
+    """The step that stores other than local disks take: a rename that doesn't replace."""
+    store = Store(spark, f"file://{tmp_path}/r", **SIZES)
+    (tmp_path / "r/manifest").mkdir(parents=True)
+    for name in ("a", "b"):
+        (tmp_path / f"r/manifest/{name}").write_text(name)
+    place, none = store._at("manifest").toUri(), spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    rename = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place, spark._jsc.hadoopConfiguration()).rename
+    rename(store._at("manifest/a"), store._at("manifest/c"), none)
+    with pytest.raises(Exception, match="FileAlreadyExistsException"):
+        rename(store._at("manifest/b"), store._at("manifest/c"), none)
+
+
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "mine", 7)], "doc_id long, text string, shard string, arrival long")
+    row = shard(df, f"file://{tmp_path}/n").placed().first()
+    assert row["shard"] == "mine" and row["arrival"] == 7 and row["shard_"].startswith("data/")
+
+
 def test_plan_takes_the_lowest_full_tier(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/c", target_bytes=1000, smallest_bytes=10, fan_in=2)
     small, large = [Shard(f"s{k}", 8, 0) for k in range(2)], [Shard(f"l{k}", 300, 5) for k in range(3)]
