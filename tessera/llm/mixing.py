@@ -8,14 +8,20 @@ after the other gives a flow of least cost. Within a pattern, documents are
 taken in the order of a seeded hash until its flow is spent; the document at the
 cut gives only its first words.
 
-Only sums by pattern reach the driver, never documents. The cut is found by
-narrowing 1024 ranges of the hash twice; an order is made only within the last
-range, so that no task sees a whole hot source.
-
-Cases: a null text has size 0 and none is taken. A document of no source (null)
-forms a source of its own, weighed last. Repeated rows are separate documents
-that share a hash. An empty table gives no rows; if all sizes are 0 so are all
-targets. Only the columns named are read.
+Only sums by pattern reach the driver, never documents: a row for each set of
+sources, at most ``MOST_PATTERNS`` (more is an error that asks for coarser
+sources, as the flow is found there). The cut is found by narrowing 1024 ranges of
+the hash twice; an order is made only within the last range, so that no task sees
+a whole hot source. Rows that share the hash because they share the id (or have
+none) are counted there as one group for each size, and the cut inside such a
+group is found by narrowing in the same way over the rows' numbers.
+
+Cases: a null text has size 0 and none is taken; a text is counted whole, however
+long. A document of no source (null) forms a source of its own, weighed last.
+Repeated rows are separate documents; which of several rows alike in id, size and
+sources are taken is left open, how many isn't. An empty table gives no rows; if
+all sizes are 0 so are all targets. Only the columns named are read; ``spread``
+keeps all columns, whatever their names. Ids are of any type that can be hashed.
 """
 
 from __future__ import annotations
@@ -25,13 +31,15 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import unused, written
 
 #: The hash order has 2 * LEVEL_BITS bits for the ranges and LEVEL_BITS more for the order in the last.
 LEVEL_BITS = 10
 RANGES = 1 << LEVEL_BITS
 #: Patterns up to which the table of cuts is broadcast.
 BROADCAST_PATTERNS = 10_000
+#: Sets of sources at most.
+MOST_PATTERNS = 1_000_000
 
 
 def targets(sizes: dict, weights: dict, share: float, cap: float) -> dict:
@@ -100,19 +108,28 @@ def cut(rows: DataFrame, digit: str, *before: str) -> DataFrame:
     return sums.filter(F.col("rest").between(F.col("spent"), F.col("spent") + F.col("sum") - 1)).select("pattern", *before, digit, (F.col("rest") - F.col("spent")).alias("rest"))
 
 
+def narrowed(pending: DataFrame, first: str, second: str, few) -> DataFrame:
+    """(pattern, first, second, rest): the cut of each pattern among the 2 ** (2 * LEVEL_BITS) ranges of two digits, written."""
+    once = cut(pending, first)
+    return written(cut(pending.drop("rest").join(few(once), ["pattern", first]), second, first), "cuts")
+
+
+def digits(key: Column, *levels: int) -> list[Column]:
+    """Groups of LEVEL_BITS bits of a hash."""
+    return [F.shiftright(key, k * LEVEL_BITS).bitwiseAND(RANGES - 1).cast("int") for k in levels]
+
+
 def pattern_of(groups: Column) -> Column:
     """A text that names a set of sources; null is a source too."""
     return F.to_json(F.array_sort(F.array_distinct(groups)))
 
 
 def sized(docs: DataFrame, id_col: str, size: Column, groups: Column, seed: int) -> DataFrame:
-    """(id, size, pattern, sources, digits of the seeded hash), written in the shared folder: the texts are read once."""
+    """(id, size, pattern, sources, digits of the seeded hash and of the row's number), written in the shared folder: the texts are read once."""
     key = F.xxhash64(F.lit(seed), F.col(id_col))
-    digit = lambda k: F.shiftright(key, k * LEVEL_BITS).bitwiseAND(RANGES - 1).cast("int")
-    return written(
-        docs.select(F.col(id_col).alias("id"), size.alias("size"), pattern_of(groups).alias("pattern"), F.array_distinct(groups).alias("sources"), digit(2).alias("d1"), digit(1).alias("d2"), key.alias("key")),
-        "sized",
-    )
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), pattern_of(groups).alias("pattern"), F.array_distinct(groups).alias("sources"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
+    named = zip(("d1", "d2", "r1", "r2"), (*digits(F.col("key"), 2, 1), *digits(F.xxhash64("row"), 2, 1)))
+    return written(rows.withColumns(dict(named)), "sized")
 
 
 def take(rows: DataFrame, plan: list[tuple[str, int, int]]) -> DataFrame:
@@ -121,18 +138,24 @@ def take(rows: DataFrame, plan: list[tuple[str, int, int]]) -> DataFrame:
     want = spark.createDataFrame(plan, "pattern string, whole long, rest long")
     few = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)
     pending = rows.filter("size > 0").join(few(want.filter("rest > 0").select("pattern", "rest")), "pattern")
-    c1 = cut(pending, "d1")
-    c2 = written(cut(pending.drop("rest").join(few(c1), ["pattern", "d1"]), "d2", "d1"), "cuts")
-    marked = rows.join(few(want.select("pattern", "whole")), "pattern", "left").join(few(c2.withColumnsRenamed({"d1": "c1", "d2": "c2"})), "pattern", "left")
-    at = F.struct("d1", "d2")
-    edge = F.struct("c1", "c2")
-    inside = F.col("c1").isNotNull() & (at == edge)
-    ends = Window.partitionBy("pattern").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(F.sum("size").over(ends), F.lit(0))))
-    whole = F.coalesce("whole", F.lit(0)) * F.col("size")
-    out = ["id", "size", "pattern", "sources"]
-    rest = marked.filter(~inside).select(*out, (whole + F.when(F.col("c1").isNotNull() & (at < edge), F.col("size")).otherwise(0)).alias("taken"))
-    return rest.unionByName(marked.filter(inside).select(*out, (whole + last).alias("taken")))
+    at = narrowed(pending, "d1", "d2", few)
+    # in the last range: the group of rows alike at which the rest is spent
+    order = Window.partitionBy("pattern").orderBy("key", "id", "size")
+    inside = pending.drop("rest").join(few(at), ["pattern", "d1", "d2"])
+    alike = inside.groupBy("pattern", "d1", "d2", "key", "id", "size", "rest").agg((F.count("*") * F.col("size")).alias("sum")).withColumn("spent", F.sum("sum").over(order) - F.col("sum"))
+    group = written(alike.filter(F.col("rest").between(F.col("spent"), F.col("spent") + F.col("sum") - 1)).select("pattern", F.col("key").alias("c_key"), F.col("id").alias("c_id"), F.col("size").alias("c_size"), (F.col("rest") - F.col("spent")).alias("rest")), "groups")
+    same = (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size"))
+    members = inside.drop("rest").join(few(group), "pattern").filter(same)
+    rank = Window.partitionBy("pattern").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    last = narrowed(members, "r1", "r2", few)
+    ends = members.drop("rest").join(few(last), ["pattern", "r1", "r2"]).withColumn("spent", F.coalesce(F.sum("size").over(rank), F.lit(0)))
+    # the row at which the rest is spent gives a part of its words
+    end = written(ends.filter(F.col("rest").between(F.col("spent"), F.col("spent") + F.col("size") - 1)).select("pattern", F.struct("d1", "d2", "key", "id", "size", "r1", "r2", "row").alias("end"), (F.col("rest") - F.col("spent")).alias("part")), "ends")
+    here = F.struct("d1", "d2", "key", "id", "size", "r1", "r2", "row")
+    marked = rows.join(few(want.select("pattern", "whole")), "pattern", "left").join(few(end), "pattern", "left")
+    once = F.when(here < F.col("end"), F.col("size")).when(F.col("row") == F.col("end.row"), F.col("part")).otherwise(0)
+    taken = F.coalesce("whole", F.lit(0)) * F.col("size") + F.coalesce(once, F.lit(0))
+    return marked.select("id", "size", "pattern", "sources", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5, cap: int = 2, seed: int = 0, id_col: str = "doc_id") -> tuple[DataFrame, dict, dict]:
@@ -144,7 +167,9 @@ def mix(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5
     source. No document is taken more than ``cap`` times.
     """
     rows = sized(docs, id_col, size, groups, seed)
-    sums = rows.groupBy("pattern", "sources").agg(F.sum("size").alias("words")).collect()  # a row for each pattern
+    sums = rows.groupBy("pattern", "sources").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()  # a row for each pattern
+    if len(sums) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources: name coarser ones")
     patterns, members, sizes = {}, {}, {}
     for pattern, sources, words in sums:
         patterns[pattern] = patterns.get(pattern, 0) + words
@@ -163,10 +188,11 @@ def mix(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5
 def spread(docs: DataFrame, size: Column, groups: Column, weigh, share: float = 1.5, cap: int = 2, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole: texts aren't cut. Rows without words go; rows alike in id, size and sources come as often as the one taken most."""
     taken, _, _ = mix(docs, size, groups, weigh, share, cap, seed, id_col)
-    often = taken.filter("taken > 0").groupBy("id", "size", "pattern").agg(F.floor(F.max("taken") / F.col("size") + 0.5).cast("int").alias("mix_times"))
-    often = often.filter("mix_times > 0").select(F.col("id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("pattern").alias("mix_pattern"), "mix_times")
-    same = F.col(id_col).eqNullSafe(F.col("mix_id")) & (size == F.col("mix_size")) & pattern_of(groups).eqNullSafe(F.col("mix_pattern"))
-    return docs.join(often, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_times")).alias("mix_copy")).drop("mix_copy")
+    of, words, pattern, times, copy = unused(docs.columns, "of", "words", "pattern", "times", "copy")
+    often = taken.filter("taken > 0").groupBy("id", "size", "pattern").agg(F.floor(F.max("taken") / F.col("size") + 0.5).cast("int").alias(times))
+    often = often.filter(F.col(times) > 0).select(F.col("id").alias(of), F.col("size").alias(words), F.col("pattern").alias(pattern), times)
+    same = F.col(id_col).eqNullSafe(F.col(of)) & (size == F.col(words)) & pattern_of(groups).eqNullSafe(F.col(pattern))
+    return docs.join(often, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 def by_order(weights: tuple = (5, 2, 1)):

@@ -3,6 +3,7 @@
 import itertools
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -85,3 +86,37 @@ def test_overlaps_nulls_and_repeats(spark):
     assert sum(r.taken for r in got) <= sum(round(t) for t in wanted.values())
     empty, _, none = mixing.mix(df.limit(0), F.col("n"), F.col("groups"), mixing.by_order())
     assert empty.count() == 0 and none == {}
+
+
+def test_repeats_nulls_and_names_at_volume(spark):
+    """Thousands of rows without an id, of one id, and alike in all columns; columns of the names that are used inside."""
+    text = lambda k: "w " * (k % 4)
+    rows = [(None, text(k), "s") for k in range(6000)] + [(5, text(3), "s")] * 4000 + [(5, text(k), "t") for k in range(3000)] + [(k, text(k), None) for k in range(100, 400)] + [(8, None, "s"), (9, "", "t"), (10, "long " * 30_000, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS mix_id", "2 AS of", "3 AS size", "4 AS pattern", "5 AS id", "6 AS taken", "7 AS copy").repartition(7)
+    size = F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long") - 1
+    out, sizes, wanted = mixing.mix(df, size, F.array("source"), mixing.by_order())
+    got = out.collect()
+    assert len(got) == len(rows)
+    for s in sizes:
+        assert sum(r.taken for r in got if r.sources == [s]) == round(wanted[s])
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    key = lambda found: sorted(map(str, found))
+    again, _, _ = mixing.mix(df.repartition(3), size, F.array("source"), mixing.by_order())
+    assert key(again.collect()) == key(got)
+    spread = mixing.spread(df, size, F.array("source"), mixing.by_order())
+    assert spread.columns == df.columns and spread.filter("mix_id != 1 OR size != 3 OR pattern != 4 OR id != 5").count() == 0
+
+
+def test_query_with_nulls_and_long_texts(spark, tmp_path):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "x " * 50_000, "a"), (4, "y z", None), (None, "q", "b"), (None, "q", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_mixing(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r["size"], r.source_size) for r in got) == [("1", 0, 50_000), ("2", 0, 50_000), ("3", 50_000, 50_000), ("4", 2, 2), ("None", 1, 2), ("None", 1, 2)]
+    assert all(r.taken <= 2 * r["size"] for r in got) and [r.taken for r in got if r["size"] == 0] == [0, 0]
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    df = spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, n long")
+    with pytest.raises(ValueError):
+        mixing.mix(df, F.col("n"), F.array("doc_id"), mixing.by_order())
