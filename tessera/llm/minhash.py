@@ -1,30 +1,36 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A text's set is its distinct shingles of five words. Texts with equal sets form a
-class, of which the least document stands for all. Its sketch holds the ``SKETCH``
-smallest hashes of the set. Inverted lists of the ``KEPT`` smallest retained
-values give the pairs that share some, the union's sketch estimates their
-likeness, and pairs that may be near are confirmed on the full sets of their
-texts. Links make components.
+class, for which the least document stands. Its sketch holds the ``SKETCH``
+smallest hashes of the set. Inverted lists of retained values give the pairs that
+share some, the union's sketch estimates their likeness, and pairs that may be
+near are confirmed on the full sets of their texts. Links make components.
 
 Values in more than ``common`` sketches (passages that many texts share, large
-groups of near copies) would give lists whose pairs grow with the square. The
-order of values puts them last: a text that has enough rarer values is found by
-these. A text made mostly of common values is in long lists as well, with a
-``WIDE`` sketch. Long lists are worked off in rounds: each list compares its
-texts with one leader, the text with most common values, and near ones join the
-leader's component. Texts that are left outside a list's largest component are
-then compared with all others of the list within the join, so that only near
-pairs come out of it. Nothing is capped and no list emits all its pairs.
+groups of near copies) would give lists whose pairs grow with the square, so a
+text is listed under its rarer values: under so many that a pair of likeness 0.75
+shares none less than once in a million. A text most of whose sketch is common
+has too few of these. Such texts get a ``WIDE`` sketch, which holds most sets
+whole, and are listed under its rarest values among themselves: sets of likeness
+0.75 share one of the rarest quarter and one more. Lists that are still long
+(groups of near copies) are worked off by leaders: each list compares its texts
+with one of them, and near ones join the leader's component. What is left outside
+a list's largest component is compared with the whole list block by block, so
+that no task holds more than two blocks and only near pairs come out of it.
+Nothing is capped and no list emits all its pairs. Whether a value is common is
+found by a join; no table of values passes through the driver.
 
 Cases: a null text is empty; a text without words has no set and is linked with
-nothing. A null id is the least. Rows that share an id are one document, linked
-by whatever any of its texts is near. Only the id and text columns are read; an
-empty table gives no rows.
+nothing. A null id is the least. Ids are of any type that has an order; rows that
+share one are separate documents, told apart by their texts, and rows equal in
+both are one class. Of equal least ids none is preferred. Very long texts are
+shingled whole; a task holds the sets of one pair. Only the id and text columns
+are read, whatever the names of others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +39,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import text_or_empty, written
 from tessera.llm.graph import components
 
 SHINGLE = 5
-#: Values of a sketch, and those that a text is listed under.
+#: Values of a sketch, and those that a text is listed under at least.
 SKETCH, KEPT = 64, 16
+#: How seldom a pair of likeness 0.75 may share none of the rare values that its texts are listed under.
+MISS = 1e-6
 #: A value in more sketches than this is common.
 COMMON = 50
-#: Common values that are broadcast at most; beyond it, ``common`` is raised until they fit (longer lists, the same result).
-COMMON_VALUES = 1_000_000
 #: Ids up to which the texts to confirm are picked out by a broadcast join.
 BROADCAST_IDS = 1_000_000
 #: Pairs with a lower estimate aren't confirmed: 6 standard deviations below 0.75 for SKETCH values.
 ESTIMATE = 0.42
-#: Values of the sketch that texts in long lists have (sets of as many are whole), and the estimate that it asks for: 6 standard deviations below 0.75.
-WIDE, WIDE_ESTIMATE = 256, 0.58
+#: Values of the wide sketch (sets of as many are whole), the estimate that it asks for (6 standard deviations below 0.75), and the share of its values that a set which isn't whole is listed under (as far above a quarter).
+WIDE, WIDE_ESTIMATE, WIDE_SHARE = 256, 0.58, 0.42
 #: Rounds of leaders, and pairs for each listed text that the last comparison may have before another round is made.
 ROUNDS, PAIRS = 2, 4
-NO_ID = -(1 << 63)
+#: Texts of a block of the last comparison.
+BLOCK = 512
+#: Parts that the pairs of one text are dealt to for confirmation; each has the text once.
+PARTS = 64
 ROWS = 256
 
 
@@ -78,39 +87,40 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, digest and sketch of each text's set."""
+    """(id, t, n, d1, d2, sketch) of (id, t, text): size, digest and sketch of each text's set."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             rows = batch.slice(at, ROWS)
-            sets = [shingle_set(t or b"") for t in rows.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t or b"") for t in rows.column(2).cast(pa.binary()).to_pylist()]
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists_of([s[:SKETCH] for s in sets])],
-                names=["id", "n", "d1", "d2", "sketch"],
+                [*rows.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists_of([s[:SKETCH] for s in sets])],
+                names=["id", "t", "n", "d1", "d2", "sketch"],
             )
 
 
-def listing(common: np.ndarray):
-    """Values that a text is listed under: its smallest that aren't common, and, if those are less than half of its sketch, its smallest common ones too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rare, often, score = [], [], []
-            for values in batch.column(2):
-                x = np.asarray(values.values, dtype=np.int64)
-                is_common = np.isin(x, common, assume_unique=True)
-                rare.append(x[~is_common][:KEPT])
-                often.append(x[is_common][:KEPT] if 2 * is_common.sum() > len(x) else x[:0])
-                score.append(int(is_common.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int32()), lists_of(rare), lists_of(often)], names=["v", "n", "score", "rare", "often"])
-
-    return run
+def listed(sketches: DataFrame, common: int) -> DataFrame:
+    """(v, n, rare, long): the rare values that a text is listed under, and whether most of its sketch is common."""
+    values = sketches.select("v", "n", F.explode("sketch").alias("value"))
+    often = written(values.groupBy("value").count().filter(F.col("count") > common).select("value", F.lit(True).alias("common")), "common")
+    flagged = values.join(often, "value", "left").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("value")))).alias("rare"), F.count("common").alias("score"), F.count("*").alias("size"))
+    # of texts of likeness 0.75 all values but a quarter are shared; if that quarter is rare, so is this share of the rare ones
+    share = F.try_divide("size", 4 * F.size("rare"))
+    enough = F.when(share < 1, F.ceil(F.lit(math.log(MISS)) / F.ln(share))).otherwise(SKETCH).cast("int")
+    return flagged.select("v", "n", F.slice("rare", 1, F.greatest(F.lit(KEPT), enough)).alias("rare"), (2 * F.col("score") > F.col("size")).alias("long"))
 
 
 def sizes_near(m: str, n: str) -> Column:
     return (4 * F.col(m) >= 3 * F.col(n)) & (4 * F.col(n) >= 3 * F.col(m))
 
 
+def sharing(posts: DataFrame, lists: str) -> DataFrame:
+    """Pairs (a, b) that share a value of short lists."""
+    of = posts.select("v", "n", F.explode(lists).alias("value"))
+    other = of.withColumnsRenamed({"v": "b", "n": "m"})
+    return of.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
+
+
 def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose union's sketch says that they may be near."""
     x, y = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("v").alias("b"), F.col("sketch").alias("y"))
@@ -119,44 +129,51 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     # common values that lie in the union's sketch
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
     inside = F.when(shared == 0, 0).otherwise(F.size(F.array_intersect(F.array_intersect("x", "y"), union)) / F.size(union))
-    return both.filter(inside >= ESTIMATE).select("a", "b").distinct()
+    return both.filter(inside >= ESTIMATE).select("a", "b")
 
 
 def confirming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, x, y), the pairs whose texts' sets are near."""
-    text, held = None, None
+    """Of (b, part, a, text) in order, the pairs whose texts' sets are near; a row without ``a`` has the text of b for the rows that follow."""
+    held = np.empty(0, np.uint64)
     for batch in batches:
         found = []
-        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
-            if y != text:
-                text, held = y, shingle_set(y or b"")
-            other = shingle_set(x or b"")
-            shared = len(np.intersect1d(other, held, assume_unique=True))
-            if shared and 100 * shared >= 75 * (len(other) + len(held) - shared):
+        for b, a, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+            one = shingle_set(text or b"")
+            if a is None:
+                held = one
+                continue
+            shared = len(np.intersect1d(one, held, assume_unique=True))
+            if shared and 100 * shared >= 75 * (len(one) + len(held) - shared):
                 found.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are near on their full sets."""
-    x, y = texts.select(F.col("v").alias("a"), F.col("text").alias("x")), texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").sortWithinPartitions("b", "a")
-    return both.mapInArrow(confirming, "a long, b long").distinct()
-
-
-def rare_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs that share a value which isn't common; such a list has ``common`` texts at most."""
-    listed = posts.select("v", "n", F.explode("rare").alias("value"))
-    other = listed.withColumnsRenamed({"v": "b", "n": "m"})
-    return listed.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
+    """The pairs that are near on their full sets. The text of b isn't copied to each of its pairs: it comes once for each part of them, ahead of the texts that it is compared with."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part"))
+    others = dealt.join(texts.withColumnRenamed("v", "a"), "a").select("b", "part", "a", "text")
+    held = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("v", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    rows = others.union(held).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    return rows.mapInArrow(confirming, "a long, b long")
 
 
 def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, n, score, often, text) with the wide sketch in place of the text."""
+    """(v, n, wide) of (v, text)."""
     for batch in batches:
-        sets = [shingle_set(t or b"") for t in batch.column(4).cast(pa.binary()).to_pylist()]
-        sizes = pa.array([len(s) for s in sets], pa.int64())  # rows that share an id can have met another's text
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *batch.columns[2:4], lists_of([s[:WIDE] for s in sets])], names=["v", "n", "score", "often", "wide"])
+        sets = [shingle_set(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of([s[:WIDE] for s in sets])], names=["v", "n", "wide"])
+
+
+def prefixes(long: DataFrame, common: int) -> DataFrame:
+    """(v, n, wide, few, often): of the rarest values of each wide sketch, those in short lists (of two texts at least) and those in long ones."""
+    values = long.select("v", "n", F.explode("wide").alias("value"))
+    counts = written(values.groupBy("value").count(), "counts")
+    ranked = values.join(counts, "value").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ranked"))
+    share = F.when(F.col("n") <= WIDE, 0.25).otherwise(WIDE_SHARE)
+    first = ranked.select("v", F.slice("ranked", 1, F.floor(F.size("ranked") * share).cast("int") + 1).alias("first"))
+    those = lambda test: F.transform(F.filter("first", test), lambda x: x["value"])
+    lists = first.select("v", those(lambda x: (x["count"] > 1) & (x["count"] <= common)).alias("few"), F.sort_array(those(lambda x: x["count"] > common)).alias("often"))
+    return long.join(lists, "v")
 
 
 def wide_near(x: str, y: str, m: str, n: str) -> Column:
@@ -168,84 +185,135 @@ def wide_near(x: str, y: str, m: str, n: str) -> Column:
     return sizes_near(m, n) & F.when(whole, 100 * shared >= 75 * (F.col(m) + F.col(n) - shared)).otherwise(estimate >= WIDE_ESTIMATE)
 
 
+def sure() -> Column:
+    return ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")
+
+
+def wide_pairs(long: DataFrame) -> DataFrame:
+    """(a, b, sure): pairs that share a rare value of their wide sketches and may be near."""
+    x = long.select(F.col("v").alias("a"), "n", F.col("wide").alias("x"))
+    y = long.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    return sharing(long, "few").join(x, "a").join(y, "b").filter(wide_near("x", "y", "n", "m")).select("a", "b", sure())
+
+
 def leader_pairs(now: DataFrame, turn: int, tops: DataFrame | None = None) -> DataFrame:
-    """(a, b, sure): in each long list, its texts that may be near the list's leader. The leader has the most common values of the list; with ``tops``, of its texts outside the largest component. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
-    leader = F.struct((-F.col("score")).alias("low"), F.xxhash64(F.lit(turn), "v").alias("order"), "v")
+    """(a, b, sure): in each long list, its texts that may be near the list's leader b. The leader is the text in most long lists; with ``tops``, of the texts outside the largest component. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
+    leader = F.struct((-F.size("often")).alias("low"), F.xxhash64(F.lit(turn), "v").alias("order"), "v")
     keys = ["often"] if tops is None else ["often", "component"]
     entries = now.groupBy(*keys).agg(F.min(leader).alias("l")).select(*keys, "l", F.explode("often").alias("value"))
     if tops is not None:
-        entries = entries.join(tops.select("value", F.col("top.component").alias("top")), "value")
-        leaders = entries.filter("component != top").groupBy("value").agg(F.min("l").alias("leader"))
-    else:
-        leaders = entries.groupBy("value").agg(F.min("l").alias("leader"))
-    of = entries.select("often", "value").join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
+        entries = entries.join(tops.select("value", F.col("top.component").alias("top")), "value").filter("component != top")
+    # written: a hot list's entries then meet its leader in a join that can be split
+    entries = written(entries.select("often", "value", "l"), "entries")
+    leaders = written(entries.groupBy("value").agg(F.min("l").alias("leader")), "leaders")
+    listed_under = entries if tops is None else now.select("often").distinct().select("often", F.explode("often").alias("value"))
+    of = listed_under.join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
     of = of.join(now.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
     met = now.select(F.col("v").alias("a"), "n", "often", F.col("wide").alias("x")).join(of, (now["often"] == of["often"]) & (F.col("a") != F.col("b")) & wide_near("x", "y", "n", "m"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")).distinct()
+    return met.select("a", "b", sure()).distinct()
 
 
 def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
     return long.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def entries_of(now: DataFrame) -> DataFrame:
-    """(often, component, value, count): texts of one component that are listed under the same values, in each of their lists."""
-    return now.groupBy("often", "component").agg(F.count("*").alias("count")).select("often", "component", "count", F.explode("often").alias("value"))
-
-
 def largest(now: DataFrame) -> DataFrame:
     """(value, top, texts, parts): of each long list with several components, the largest and the number of texts."""
-    sums = entries_of(now).groupBy("value", "component").agg(F.sum("count").alias("count"))
+    entries = now.groupBy("often", "component").agg(F.count("*").alias("count")).select("often", "component", "count", F.explode("often").alias("value"))
+    sums = entries.groupBy("value", "component").agg(F.sum("count").alias("count"))
     return sums.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("texts"), F.count("*").alias("parts")).filter("parts > 1")
 
 
-def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
-    """(a, b, sure): pairs across the components of a long list that may be near, each at the least common value that both are listed under: texts outside the largest component with all others. The join compares the sketches, so other pairs never become rows."""
-    of = now.select("v", "n", "component", "often", "wide", F.explode("often").alias("value")).join(tops.select("value", F.col("top.component").alias("top")), "value")
-    outside = of.filter("component != top").select(F.col("value").alias("at"), F.col("v").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("often").alias("o"), F.col("wide").alias("x"))
-    across = (F.col("c") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a") < F.col("v")))
-    once = F.array_min(F.array_intersect("o", "often")) == F.col("value")
-    met = outside.join(of, (F.col("at") == F.col("value")) & across & sizes_near("m", "n") & once & wide_near("x", "wide", "m", "n"))
-    return met.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"), ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")).distinct()
+def met_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, b, sure): of two blocks (v, n, component, wide) of one list, the pairs across components that may be near. Shared values are counted for all pairs at once."""
+    ids, sizes, parts = zip(*((t.column("v").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()) for t in (left, right)))
+    values = [[np.asarray(x.values) for x in t.column("wide")] for t in (left, right)]
+    found: list[tuple[int, int, bool]] = []
+    if all(map(len, ids)):
+        width = len(ids[1])
+        flat = np.concatenate(values[1])
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], np.repeat(np.arange(width), [*map(len, values[1])])[order]
+        for at, x in enumerate(values[0]):
+            near = (parts[1] != parts[0][at]) & (4 * sizes[1] >= 3 * sizes[0][at]) & (4 * sizes[0][at] >= 3 * sizes[1])
+            if not near.any():
+                continue
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            some = hi > lo
+            steps = hi[some] - lo[some]
+            places = np.repeat(lo[some] - np.r_[0, np.cumsum(steps)[:-1]], steps) + np.arange(steps.sum())
+            shared = np.bincount(of[places], minlength=width)
+            whole = (sizes[1] <= WIDE) & (sizes[0][at] <= WIDE)
+            # of sets that aren't whole, WIDE values make the union's sketch
+            may = np.where(whole, 100 * shared >= 75 * (sizes[0][at] + sizes[1] - shared), shared >= WIDE_ESTIMATE * WIDE)
+            for k in np.flatnonzero(near & may):
+                if whole[k] or within_union(x, values[1][k]) >= WIDE_ESTIMATE:
+                    found.append((int(ids[0][at]), int(ids[1][k]), bool(whole[k])))
+    return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()), "sure": pa.array([p[2] for p in found], pa.bool_())})
+
+
+def within_union(x: np.ndarray, y: np.ndarray) -> float:
+    """The likeness of two sets by the sketch of their union."""
+    union = np.union1d(x, y)[:WIDE]
+    return (np.intersect1d(x, y, assume_unique=True) <= union[-1]).sum() / len(union)
 
 
-def common_values(sketches: DataFrame, common: int, most: int = COMMON_VALUES) -> np.ndarray:
-    counts = written(sketches.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") > common), "common")
-    while counts.filter(F.col("count") > common).count() > most:
-        common *= 2
-    return np.sort(counts.filter(F.col("count") > common).select("value").toPandas()["value"].to_numpy(np.int64))
+def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
+    """(a, b, sure): pairs across the components of a long list that may be near: texts outside the largest component with all others. Each list's texts are dealt to blocks by their hash, and each block of those outside meets each block of the list in a group of its own."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = tops.select("value", F.col("top.component").alias("top"), blocks("texts").alias("all"), F.ceil((F.col("texts") - F.col("top.count")) / BLOCK).cast("int").alias("out"))
+    of = now.select("v", "component", F.explode("often").alias("value")).join(sizes, "value")
+    place = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = of.filter("component != top").select("v", "value", place("out").alias("i"), every("all").alias("j"))
+    whole = of.select("v", "value", place("all").alias("j"), every("out").alias("i"))
+    wide = now.select("v", "n", "component", "wide")
+    # aliases: the two sides come from the same tables
+    groups = [rows.join(wide, "v").select(*(F.col(c).alias(c) for c in ("value", "i", "j", "v", "n", "component", "wide"))).groupBy("value", "i", "j") for rows in (outside, whole)]
+    met = groups[0].cogroup(groups[1]).applyInArrow(met_blocks, "a long, b long, sure boolean")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct()
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, n, d1, d2, sketch) of each document, written; (rep, d1, d2): the least document of each set that isn't empty."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    found = written(docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(sketched, "id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
-    reps = found.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    return found, written(reps, "classes")
-
-
-def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(v, component) over the classes' documents, from sketches (v, n, sketch)."""
-    posts = written(sketches.select("v", "n", "sketch").mapInArrow(listing(common_values(sketches, common)), "v long, n long, score int, rare array<long>, often array<long>"), "posts")
-    pairs = written(estimated(rare_pairs(posts), sketches), "pairs")
-    long = posts.filter(F.size("often") > 0)
-    needed = written(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long.select("v")).distinct(), "needed")
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = written(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("v"), F.col(text_col).alias("text")).join(few, "v", "left_semi"), "texts")
+    """(id, t, n, d1, d2, sketch, row) of each document, written; (v, id, t, row, d1, d2): a number for each set that isn't empty and its least document. t is a hash of the text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("t"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(sketched, f"id {kind}, t long, n long, d1 long, d2 long, sketch array<long>")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    reps = found.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "t", "row")).alias("least"))
+    return found, written(reps.select(F.monotonically_increasing_id().alias("v"), "least.*", "d1", "d2"), "classes")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(v, text) of the classes needed. Rows equal in id and text are brought together before they move."""
+    wanted = written(reps.join(needed, "v").select("v", F.col("id").alias("of"), "t"), "needed")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(text_or_empty()))
+    return written(rows.join(few, (F.col("h") == F.col("t")) & F.col("id").eqNullSafe(F.col("of"))).groupBy("v").agg(F.first("text").alias("text")), "texts")
+
+
+def links(docs: DataFrame, reps: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(v, component) over the classes, from sketches (v, n, sketch)."""
+    posts = written(listed(sketches, common), "posts")
+    pairs = written(estimated(sharing(posts, "rare"), sketches), "pairs")
+    long = posts.filter("long").select("v")
+    texts = texts_of(docs, reps, pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long).distinct(), id_col, text_col)
     near = written(confirmed(pairs, texts), "links")
-    n_listed = long.agg(F.sum(F.size("often"))).first()[0] or 0
-    if not n_listed:
+    if long.isEmpty():
         return components(near)
-    wide = long.select("v", "n", "score", "often").join(texts, "v").select("v", "n", "score", "often", "text")
-    long = written(wide.mapInArrow(widened, "v long, n long, score int, often array<long>, wide array<long>"), "long")
+    wide = written(texts.join(long, "v", "left_semi").select("v", "text").mapInArrow(widened, "v long, n long, wide array<long>"), "wide")
+    ordered = written(prefixes(wide, common), "prefixes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         unsure = written(confirmed(pairs.filter("NOT sure").select("a", "b"), texts), "links")
         return pairs.filter("sure").select("a", "b").union(unsure)
 
+    near = near.union(linked(wide_pairs(ordered)))
+    long = ordered.filter(F.size("often") > 0).select("v", "n", "often", "wide")
+    n_listed = long.agg(F.sum(F.size("often"))).first()[0] or 0
     now, tops, left = long, None, 0
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS if n_listed else 0):
         near = near.union(linked(leader_pairs(now, turn, tops)))
         # the first is ``long`` itself, which every round reads
         now = written(labelled(long, components(near)), "listed", replaces=now if turn else None)
@@ -258,14 +326,35 @@ def links(docs: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: st
     return components(near)
 
 
-def near_duplicates(docs: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document: the size of its set, the least document that links reach from it, and whether that is itself."""
+def components_of(docs: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, row, n, least): each document with the least one that links reach from it, a struct of id, t and row, written."""
     found, reps = classes(docs, id_col, text_col)
     # three keys, so a hot class isn't one task's
-    chosen = found.join(reps.withColumnRenamed("rep", "id"), ["d1", "d2", "id"]).select(F.col("id").alias("v"), "n", "sketch")
-    parts = written(links(docs, written(chosen, "representatives"), common, id_col, text_col), "components")
-    of_class = reps.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    of_row = found.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    of_id = F.nullif("id", F.lit(NO_ID))
-    component = F.nullif("component", F.lit(NO_ID))
-    return of_row.select(of_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    chosen = found.join(reps.select("v", "d1", "d2", "row"), ["d1", "d2", "row"]).select("v", "n", "sketch")
+    parts = written(links(docs, reps, written(chosen, "representatives"), common, id_col, text_col), "components")
+    of_class = reps.join(parts, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("component"), F.struct("id", "t", "row").alias("own"))
+    least = written(of_class.groupBy("component").agg(F.min("own").alias("least")), "least")
+    of_class = written(of_class.join(least, "component").select("d1", "d2", "least"), "of_class")
+    own = F.struct("id", "t", "row")
+    return written(found.select("id", "t", "row", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left").select("id", "t", "row", "n", F.coalesce("least", own).alias("least")), "near")
+
+
+def near_duplicates(docs: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each document: the size of its set, the least document that links reach from it, and whether that has its id."""
+    rows = components_of(docs, common, id_col, text_col)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), F.col("id").eqNullSafe(F.col("least.id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near duplicates: the least id's stays, one row of those equal in id and text. Rows without words stay. How texts meet the list of those that go is left to its size."""
+    rows = components_of(docs, common, id_col, text_col)
+    # the rows of an id and a text are one class: all of them stay or none does
+    keys = rows.groupBy("id", "t").agg(F.max((F.col("n") == 0) | (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.t") == F.col("t")))).alias("stays"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    of, h, go, repeats = "near_of", "near_text", "near_goes", "near_repeats"
+    odd = written(keys.filter("NOT stays OR n > 0 AND copies > 1").select(F.col("id").alias(of), F.col("t").alias(h), (~F.col("stays")).alias(go), F.lit(True).alias(repeats)), "odd")
+    names = docs.columns
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("t"))
+    marked = packed.join(odd, F.col("id").eqNullSafe(F.col(of)) & (F.col("t") == F.col(h)), "left").filter(F.coalesce(~F.col(go), F.lit(True)))
+    single = marked.filter(F.col(repeats).isNull()).select("row.*")
+    repeated = marked.filter(F.col(repeats)).groupBy("id", "t").agg(F.first("row").alias("row")).select("row.*")
+    return single.union(repeated)

@@ -1,5 +1,6 @@
 """Near duplicates against brute force over full sets of shingles."""
 
+import os
 import random
 import re
 
@@ -60,22 +61,26 @@ def test_query_on_whole_table(spark):
     assert plain(op5_minhash(spark, folder)) == brute(docs)
 
 
-@pytest.mark.parametrize("common", [3, 50])
-def test_chains_and_groups(spark, common):
-    """Chains of small edits, passages that many texts share and a large group of near copies, with long lists and without."""
+@pytest.mark.parametrize(("common", "block", "size"), [(3, 8, 300), (50, 512, 60)])
+def test_chains_and_groups(spark, monkeypatch, common, block, size):
+    """Chains of small edits, passages that many texts share and a large group of near copies, with long lists and without, in small blocks and large, of sets that wide sketches hold and that they don't."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     passage = rng.choices(words, k=60)
     docs = []
     for _ in range(12):
-        text = rng.choices(words, k=rng.randint(20, 60))
+        text = rng.choices(words, k=rng.randint(20, size))
         for _ in range(rng.randint(1, 6)):
             docs.append(" ".join(text))
             text = [*text]
             text[rng.randrange(len(text))] = rng.choice(words)
     docs += [" ".join([*rng.choices(words, k=n), *passage]) for n in (2, 4, 5, 6, 8, 9, 10, 12, 14, 30) for _ in range(4)]
-    group = rng.choices(words, k=80)
-    docs += [" ".join([*group[:k], "x", *group[k + 1 :]]) for k in range(0, 80, 2)]
+    group = rng.choices(words, k=size + 20)
+    docs += [" ".join([*group[:k], "x", *group[k + 1 :]]) for k in range(0, size + 20, 2)]
+    # texts of one passage and an end of their own: in the same long lists, most pairs not near
+    shared = rng.choices(words, k=size)
+    docs += [" ".join([*shared, *(f"own{k}_{j}" for j in range(size // 5 + k % 7))]) for k in range(60)]
     rng.shuffle(docs)
     rows = [*enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -93,3 +98,31 @@ def test_nulls_ties_and_small_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     twice = minhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (1, "x y z"), (2, "x y z"), (3, "a b c")], "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in twice.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_ids_of_any_type_and_repeated_ones(spark):
+    rows = [("b", "one two three four five six seven"), ("a", "One two three four five six seven"), ("a", "quite other words than those"), (None, "quite other words than those"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [("None", "None", True), ("a", "None", False), ("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(7, "a b c d", "s"), (7, "a b c d", "s"), (7, "unlike all others", "s"), (3, "a B c d", "t"), (None, "x y", "u"), (None, "x y", "u"), (9, None, "v"), (9, None, "v"), (None, "", "w"), (10, "X  Y", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_of string").selectExpr("*", "1 AS row", "2 AS t", "3 AS id")
+    out = minhash.one_of_each(df)
+    assert out.columns == df.columns
+    want = [(3, "a B c d", "t", 1), (7, "unlike all others", "s", 1), (None, "x y", "u", 1), (9, None, "v", 1), (9, None, "v", 1), (None, "", "w", 1)]
+    assert sorted(((r.doc_id, r.text, r.near_of, r.row) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif("SLOW_TESTS" not in os.environ, reason="takes minutes")
+def test_recall_on_the_larger_table(spark):
+    """Every link of 10,000 documents against brute force over full sets."""
+    folder = "/root/testdata/sf0.1"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got, want = plain(op5_minhash(spark, folder)), brute(docs)
+    linked = [i for i, (_, c, _) in want.items() if c != i]
+    print("recall of linked documents", sum(got[i] == want[i] for i in linked) / len(linked), "of", len(linked))
+    assert got == want
