@@ -9,16 +9,14 @@ near are confirmed on the full sets of their texts. Links make components.
 Values in more than ``common`` sketches (passages that many texts share, large
 groups of near copies) would give lists whose pairs grow with the square, so a
 text is listed under its rarer values: under so many that a pair of likeness 0.75
-shares none less than once in a million. A text most of whose sketch is common
-has too few of these. Such texts get a ``WIDE`` sketch, which holds most sets
-whole, and are listed under its rarest values among themselves: sets of likeness
-0.75 share one of the rarest quarter and one more. Lists that are still long
-(groups of near copies) are worked off by leaders: each list compares its texts
-with one of them, and near ones join the leader's component. What is left outside
-a list's largest component is compared with the whole list block by block, so
-that no task holds more than two blocks and only near pairs come out of it.
-Nothing is capped and no list emits all its pairs. Whether a value is common is
-found by a join; no table of values passes through the driver.
+shares none less than once in a million. A text with too few of these (less than
+``RARE`` of its sketch) is in long lists too, under its smallest common values,
+with a ``WIDE`` sketch that holds most sets whole. Each long list compares its
+texts with one leader, and near ones join the leader's component. What is left
+outside a list's largest component is compared with the whole list block by
+block, so that no task holds more than two blocks and only near pairs come out
+of it. Nothing is capped and no list emits all its pairs. Whether a value is
+common is found by a join; no table of values passes through the driver.
 
 Cases: a null text is empty; a text without words has no set and is linked with
 nothing. A null id is the least. Ids are of any type that has an order; rows that
@@ -47,18 +45,16 @@ SHINGLE = 5
 SKETCH, KEPT = 64, 16
 #: How seldom a pair of likeness 0.75 may share none of the rare values that its texts are listed under.
 MISS = 1e-6
-#: A value in more sketches than this is common.
-COMMON = 50
+#: A value in more sketches than this is common; a text with fewer rare values in its sketch than this share is in long lists.
+COMMON, RARE = 50, 0.4
 #: Ids up to which the texts to confirm are picked out by a broadcast join.
 BROADCAST_IDS = 1_000_000
 #: Pairs with a lower estimate aren't confirmed: 6 standard deviations below 0.75 for SKETCH values.
 ESTIMATE = 0.42
-#: Values of the wide sketch (sets of as many are whole), the estimate that it asks for (6 standard deviations below 0.75), and the share of its values that a set which isn't whole is listed under (as far above a quarter).
-WIDE, WIDE_ESTIMATE, WIDE_SHARE = 256, 0.58, 0.42
-#: Rounds of leaders, and pairs for each listed text that the last comparison may have before another round is made.
-ROUNDS, PAIRS = 2, 4
+#: Values of the wide sketch (sets of as many are whole), and the estimate that it asks for: 6 standard deviations below 0.75.
+WIDE, WIDE_ESTIMATE = 512, 0.63
 #: Texts of a block of the last comparison.
-BLOCK = 512
+BLOCK = 1024
 #: Parts that the pairs of one text are dealt to for confirmation; each has the text once.
 PARTS = 64
 ROWS = 256
@@ -100,23 +96,26 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def listed(sketches: DataFrame, common: int) -> DataFrame:
-    """(v, n, rare, long): the rare values that a text is listed under, and whether most of its sketch is common."""
+    """(v, n, rare, often): the rare values that a text is listed under, and its smallest common ones if it has few of these."""
     values = sketches.select("v", "n", F.explode("sketch").alias("value"))
     often = written(values.groupBy("value").count().filter(F.col("count") > common).select("value", F.lit(True).alias("common")), "common")
-    flagged = values.join(often, "value", "left").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("value")))).alias("rare"), F.count("common").alias("score"), F.count("*").alias("size"))
+    those = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("value"))))
+    is_rare = F.col("common").isNull()
+    flagged = values.join(often, "value", "left").groupBy("v", "n").agg(those(is_rare).alias("rare"), those(~is_rare).alias("often"), F.count("*").alias("size"))
     # of texts of likeness 0.75 all values but a quarter are shared; if that quarter is rare, so is this share of the rare ones
     share = F.try_divide("size", 4 * F.size("rare"))
     enough = F.when(share < 1, F.ceil(F.lit(math.log(MISS)) / F.ln(share))).otherwise(SKETCH).cast("int")
-    return flagged.select("v", "n", F.slice("rare", 1, F.greatest(F.lit(KEPT), enough)).alias("rare"), (2 * F.col("score") > F.col("size")).alias("long"))
+    few = F.size("rare") < RARE * F.col("size")
+    return flagged.select("v", "n", F.slice("rare", 1, F.greatest(F.lit(KEPT), enough)).alias("rare"), F.when(few, F.slice("often", 1, KEPT)).otherwise(F.array().cast("array<long>")).alias("often"))
 
 
 def sizes_near(m: str, n: str) -> Column:
     return (4 * F.col(m) >= 3 * F.col(n)) & (4 * F.col(n) >= 3 * F.col(m))
 
 
-def sharing(posts: DataFrame, lists: str) -> DataFrame:
-    """Pairs (a, b) that share a value of short lists."""
-    of = posts.select("v", "n", F.explode(lists).alias("value"))
+def sharing(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a value which isn't common; such a list has ``common`` texts at most."""
+    of = posts.select("v", "n", F.explode("rare").alias("value"))
     other = of.withColumnsRenamed({"v": "b", "n": "m"})
     return of.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & sizes_near("m", "n")).select("a", "b").distinct()
 
@@ -164,18 +163,6 @@ def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists_of([s[:WIDE] for s in sets])], names=["v", "n", "wide"])
 
 
-def prefixes(long: DataFrame, common: int) -> DataFrame:
-    """(v, n, wide, few, often): of the rarest values of each wide sketch, those in short lists (of two texts at least) and those in long ones."""
-    values = long.select("v", "n", F.explode("wide").alias("value"))
-    counts = written(values.groupBy("value").count(), "counts")
-    ranked = values.join(counts, "value").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ranked"))
-    share = F.when(F.col("n") <= WIDE, 0.25).otherwise(WIDE_SHARE)
-    first = ranked.select("v", F.slice("ranked", 1, F.floor(F.size("ranked") * share).cast("int") + 1).alias("first"))
-    those = lambda test: F.transform(F.filter("first", test), lambda x: x["value"])
-    lists = first.select("v", those(lambda x: (x["count"] > 1) & (x["count"] <= common)).alias("few"), F.sort_array(those(lambda x: x["count"] > common)).alias("often"))
-    return long.join(lists, "v")
-
-
 def wide_near(x: str, y: str, m: str, n: str) -> Column:
     """Whether wide sketches say that two sets of m and n values may be near; they decide it if both sets are whole."""
     shared = F.size(F.array_intersect(x, y))
@@ -189,25 +176,13 @@ def sure() -> Column:
     return ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")
 
 
-def wide_pairs(long: DataFrame) -> DataFrame:
-    """(a, b, sure): pairs that share a rare value of their wide sketches and may be near."""
-    x = long.select(F.col("v").alias("a"), "n", F.col("wide").alias("x"))
-    y = long.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
-    return sharing(long, "few").join(x, "a").join(y, "b").filter(wide_near("x", "y", "n", "m")).select("a", "b", sure())
-
-
-def leader_pairs(now: DataFrame, turn: int, tops: DataFrame | None = None) -> DataFrame:
-    """(a, b, sure): in each long list, its texts that may be near the list's leader b. The leader is the text in most long lists; with ``tops``, of the texts outside the largest component. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
-    leader = F.struct((-F.size("often")).alias("low"), F.xxhash64(F.lit(turn), "v").alias("order"), "v")
-    keys = ["often"] if tops is None else ["often", "component"]
-    entries = now.groupBy(*keys).agg(F.min(leader).alias("l")).select(*keys, "l", F.explode("often").alias("value"))
-    if tops is not None:
-        entries = entries.join(tops.select("value", F.col("top.component").alias("top")), "value").filter("component != top")
+def leader_pairs(now: DataFrame) -> DataFrame:
+    """(a, b, sure): in each long list, its texts that may be near the list's leader b, the text in most long lists. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
+    leader = F.struct((-F.size("often")).alias("low"), F.xxhash64("v").alias("order"), "v")
     # written: a hot list's entries then meet its leader in a join that can be split
-    entries = written(entries.select("often", "value", "l"), "entries")
+    entries = written(now.groupBy("often").agg(F.min(leader).alias("l")).select("often", "l", F.explode("often").alias("value")), "entries")
     leaders = written(entries.groupBy("value").agg(F.min("l").alias("leader")), "leaders")
-    listed_under = entries if tops is None else now.select("often").distinct().select("often", F.explode("often").alias("value"))
-    of = listed_under.join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
+    of = entries.join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
     of = of.join(now.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
     met = now.select(F.col("v").alias("a"), "n", "often", F.col("wide").alias("x")).join(of, (now["often"] == of["often"]) & (F.col("a") != F.col("b")) & wide_near("x", "y", "n", "m"))
     return met.select("a", "b", sure()).distinct()
@@ -225,30 +200,33 @@ def largest(now: DataFrame) -> DataFrame:
 
 
 def met_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(a, b, sure): of two blocks (v, n, component, wide) of one list, the pairs across components that may be near. Shared values are counted for all pairs at once."""
-    ids, sizes, parts = zip(*((t.column("v").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()) for t in (left, right)))
-    values = [[np.asarray(x.values) for x in t.column("wide")] for t in (left, right)]
+    """(a, b, sure): of two blocks (v, n, component, wide) of one list, links across components: of sure ones those that connect what others don't, of pairs that full sets decide all that these don't connect. Shared values are counted for a text and a block at once."""
+    (ids, ids2), (n, m), (parts, parts2) = (tuple(t.column(c).to_numpy() for t in (left, right)) for c in ("v", "n", "component"))
+    wide, wide2 = ([np.asarray(x.values) for x in t.column("wide")] for t in (left, right))
     found: list[tuple[int, int, bool]] = []
-    if all(map(len, ids)):
-        width = len(ids[1])
-        flat = np.concatenate(values[1])
+    if len(ids) and len(ids2):
+        number = np.unique(np.r_[parts, parts2], return_inverse=True)[1]
+        one, two, root = number[: len(ids)], number[len(ids) :], np.arange(number.max() + 1)
+        flat = np.concatenate(wide2)
         order = np.argsort(flat, kind="stable")
-        flat, of = flat[order], np.repeat(np.arange(width), [*map(len, values[1])])[order]
-        for at, x in enumerate(values[0]):
-            near = (parts[1] != parts[0][at]) & (4 * sizes[1] >= 3 * sizes[0][at]) & (4 * sizes[0][at] >= 3 * sizes[1])
+        flat, of = flat[order], np.repeat(np.arange(len(ids2)), [*map(len, wide2)])[order]
+        for at, x in enumerate(wide):
+            near = (root[two] != root[one[at]]) & (4 * m >= 3 * n[at]) & (4 * n[at] >= 3 * m)
             if not near.any():
                 continue
             lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            some = hi > lo
-            steps = hi[some] - lo[some]
-            places = np.repeat(lo[some] - np.r_[0, np.cumsum(steps)[:-1]], steps) + np.arange(steps.sum())
-            shared = np.bincount(of[places], minlength=width)
-            whole = (sizes[1] <= WIDE) & (sizes[0][at] <= WIDE)
+            lo, steps = lo[hi > lo], (hi - lo)[hi > lo]
+            places = np.repeat(lo - np.r_[0, np.cumsum(steps)[:-1]], steps) + np.arange(steps.sum()) if len(steps) else steps
+            shared = np.bincount(of[places], minlength=len(ids2))
+            whole = (m <= WIDE) & (n[at] <= WIDE)
+            links = np.flatnonzero(near & whole & (100 * shared >= 75 * (n[at] + m - shared)))
+            for k in links[np.unique(root[two[links]], return_index=True)[1]]:
+                found.append((int(ids[at]), int(ids2[k]), True))
+                root[root == root[two[k]]] = root[one[at]]
             # of sets that aren't whole, WIDE values make the union's sketch
-            may = np.where(whole, 100 * shared >= 75 * (sizes[0][at] + sizes[1] - shared), shared >= WIDE_ESTIMATE * WIDE)
-            for k in np.flatnonzero(near & may):
-                if whole[k] or within_union(x, values[1][k]) >= WIDE_ESTIMATE:
-                    found.append((int(ids[0][at]), int(ids[1][k]), bool(whole[k])))
+            for k in np.flatnonzero(near & ~whole & (shared >= WIDE_ESTIMATE * WIDE)):
+                if root[two[k]] != root[one[at]] and within_union(x, wide2[k]) >= WIDE_ESTIMATE:
+                    found.append((int(ids[at]), int(ids2[k]), False))
     return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()), "sure": pa.array([p[2] for p in found], pa.bool_())})
 
 
@@ -259,7 +237,7 @@ def within_union(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
-    """(a, b, sure): pairs across the components of a long list that may be near: texts outside the largest component with all others. Each list's texts are dealt to blocks by their hash, and each block of those outside meets each block of the list in a group of its own."""
+    """(a, b, sure): links across the components of a long list, as ``met_blocks`` has them: of texts outside the largest component with all others. Each list's texts are dealt to blocks by their hash, and each block of those outside meets each block of the list in a group of its own."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = tops.select("value", F.col("top.component").alias("top"), blocks("texts").alias("all"), F.ceil((F.col("texts") - F.col("top.count")) / BLOCK).cast("int").alias("out"))
     of = now.select("v", "component", F.explode("often").alias("value")).join(sizes, "value")
@@ -295,33 +273,24 @@ def texts_of(docs: DataFrame, reps: DataFrame, needed: DataFrame, id_col: str, t
 def links(docs: DataFrame, reps: DataFrame, sketches: DataFrame, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(v, component) over the classes, from sketches (v, n, sketch)."""
     posts = written(listed(sketches, common), "posts")
-    pairs = written(estimated(sharing(posts, "rare"), sketches), "pairs")
-    long = posts.filter("long").select("v")
-    texts = texts_of(docs, reps, pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long).distinct(), id_col, text_col)
+    pairs = written(estimated(sharing(posts), sketches), "pairs")
+    long = posts.filter(F.size("often") > 0)
+    texts = texts_of(docs, reps, pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(long.select("v")).distinct(), id_col, text_col)
     near = written(confirmed(pairs, texts), "links")
     if long.isEmpty():
         return components(near)
-    wide = written(texts.join(long, "v", "left_semi").select("v", "text").mapInArrow(widened, "v long, n long, wide array<long>"), "wide")
-    ordered = written(prefixes(wide, common), "prefixes")
+    wide = texts.join(long.select("v"), "v", "left_semi").select("v", "text").mapInArrow(widened, "v long, n long, wide array<long>")
+    long = written(wide.join(long.select("v", "often"), "v"), "long")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         unsure = written(confirmed(pairs.filter("NOT sure").select("a", "b"), texts), "links")
         return pairs.filter("sure").select("a", "b").union(unsure)
 
-    near = near.union(linked(wide_pairs(ordered)))
-    long = ordered.filter(F.size("often") > 0).select("v", "n", "often", "wide")
-    n_listed = long.agg(F.sum(F.size("often"))).first()[0] or 0
-    now, tops, left = long, None, 0
-    for turn in range(ROUNDS if n_listed else 0):
-        near = near.union(linked(leader_pairs(now, turn, tops)))
-        # the first is ``long`` itself, which every round reads
-        now = written(labelled(long, components(near)), "listed", replaces=now if turn else None)
-        tops = written(largest(now), "largest", replaces=tops)
-        left = tops.agg(F.sum(F.col("texts") * (F.col("texts") - F.col("top.count")))).first()[0] or 0
-        if left <= PAIRS * n_listed:
-            break
-    if left:
+    near = near.union(linked(leader_pairs(long)))
+    now = written(labelled(long, components(near)), "listed")
+    tops = written(largest(now), "largest")
+    if not tops.isEmpty():
         near = near.union(linked(rest_pairs(now, tops)))
     return components(near)
 
