@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -45,6 +46,43 @@ def arrow_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(run, "p_partkey long, n long")
 
 
+@F.udf(returnType=StringType())
+def initials(name: str) -> str:
+    return "".join(w[0] for w in name.split(" "))
+
+
+def plain_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row by row: the slow path, for what no built-in function says."""
+    return table(spark, sf_dir, "part").select("p_partkey", initials("p_name").alias("initials"))
+
+
+@F.arrow_udf(DoubleType())
+def doubled(x: pa.Array) -> pa.Array:
+    return pc.multiply(x, 2.0)
+
+
+def arrow_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", doubled("p_retailprice").alias("twice"))
+
+
+def pandas_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[rows["p_size"] > 25]
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, p_size int")
+
+
+def grouped_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each supplier, counted by task and supplier first, so that no group is larger than the number of tasks."""
+
+    def total(rows: pa.Table) -> pa.Table:
+        return pa.table({"l_suppkey": rows.column("l_suppkey").slice(0, 1), "n": pa.array([pc.sum(rows.column("n")).as_py()], pa.int64())})
+
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    return counts.groupBy("l_suppkey").applyInArrow(total, "l_suppkey long, n long")
+
+
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds since the user's event before."""
 
@@ -86,8 +124,33 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, word, place FROM part, LATERAL tessera_words(p_name)")
 
 
+@F.udtf(returnType=StructType([StructField("brand", StringType()), StructField("n", IntegerType()), StructField("largest", IntegerType())]))
+class Sizes:
+    """Count and largest size of the parts of a brand: state over a partition's rows, no rows kept."""
+
+    def __init__(self) -> None:
+        self.brand, self.n, self.largest = None, 0, 0
+
+    def eval(self, row):
+        self.brand, self.n, self.largest = row["p_brand"], self.n + 1, max(self.largest, row["p_size"])
+
+    def terminate(self):
+        yield self.brand, self.n, self.largest
+
+
+def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("tessera_sizes", Sizes)
+    table(spark, sf_dir, "part").select("p_brand", "p_size").createOrReplaceTempView("tessera_parts")
+    return spark.sql("SELECT brand, n, largest FROM tessera_sizes(TABLE(tessera_parts) PARTITION BY p_brand)")
+
+
 _net = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem"
 QUERIES = {
+    "udf_plain_scalar": plain_scalar,
+    "udf_arrow_scalar": arrow_scalar,
+    "udf_pandas_map": pandas_map,
+    "udf_grouped_arrow": grouped_arrow,
+    "udf_table_argument": table_argument,
     "udf_pandas_aggregate": pandas_aggregate,
     "udf_pandas_window": pandas_over_window,
     "udf_arrow_map": arrow_map,
@@ -98,6 +161,11 @@ QUERIES = {
     "udf_table_function": table_function,
 }
 ORACLES = {
+    "udf_plain_scalar": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') AS initials FROM part",
+    "udf_arrow_scalar": "SELECT p_partkey, p_retailprice * 2 AS twice FROM part",
+    "udf_pandas_map": "SELECT p_partkey, p_size FROM part WHERE p_size > 25",
+    "udf_grouped_arrow": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey",
+    "udf_table_argument": "SELECT p_brand AS brand, count(*)::int AS n, max(p_size) AS largest FROM part GROUP BY p_brand",
     "udf_pandas_aggregate": "SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_custkey",
     "udf_pandas_window": "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) - min(o_totalprice) OVER (PARTITION BY o_custkey) AS spread FROM orders",
     "udf_arrow_map": "SELECT p_partkey, length(p_name) AS n FROM part",

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import user
 from tessera.operators import joins
-from tessera.plans import relational
+from tessera.plans import frames, relational
 from tessera.sources import formats
 from tessera.sources.tables import table
 from tessera.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = relational.QUERIES | formats.QUERIES | user.QUERIES | streams.QUERIES
-ORACLES: dict[str, str] = relational.ORACLES | formats.ORACLES | user.ORACLES | streams.ORACLES
+QUERIES: dict[str, Query] = relational.QUERIES | formats.QUERIES | user.QUERIES | streams.QUERIES | frames.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | formats.ORACLES | user.ORACLES | streams.ORACLES | frames.ORACLES
 
 
 def customer_revenue_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
