@@ -12,9 +12,12 @@ within the radius, so each pair of blocks is the key of one table.
 
 Cases: a null text is empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Documents that share an id share their next
-document, the least text of the next id. A single document is its own next.
-A null id comes before all others. Only the id and
-text columns are read; an empty table gives no rows.
+document, the row of the next id with the least text; its text is copied from and
+its fingerprint is compared. A single document is its own next. Bits whose votes
+are even are 0. Very long texts vote whole, up to 2^28 terms. Ids are whole
+numbers; a null id, as the least 64-bit number stands for it, comes before all
+others. Only the id and text columns are read, whatever the names of others; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,15 @@ without edits. Around each hit a window of text tells quotation
 (quote signs on both sides, words of reporting) from abuse. Scores come from a
 logistic model of the weighed hits.
 
-Cases: a null or empty text has no hits and the score of such texts. With no
+The lexicon's bounds are parameters of the fit on the labelled sample, as SAMPLE
+is: CANDIDATES keys that tell most, and ENTRIES chosen from these. Nothing else
+is bounded.
+
+Cases: a null or empty text has no hits and the score of such texts. Very long
+texts are read whole; a hit's context is its window alone. Of entries as near to
+a word the one with fewer edits counts, then the one chosen first; an exact stem
+comes before an edited word. ``keep`` replaces a column tox_score of the input,
+all others stay. Ids are of any type. With no
 labels, or labels of one kind, the lexicon is empty and the score is the rate of
 toxic labels (0 without labels). Repeated rows stay separate rows. Only the id
 and text columns are read; labels, languages and sources are never inputs of a
@@ -152,11 +160,23 @@ def keys_of(text: str) -> set[str]:
 
 
 def quoted(text: str, start: int, end: int) -> bool:
-    """Whether a hit stands in quote signs, or beside a word of reporting with a quote sign near."""
+    """Whether a hit stands in a quotation: signs in the window before it are paired, and one is open at the hit and closed after it; or one of the two stands beside a word of reporting."""
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    opens = any(c in _opening and (k == 0 or not before[k - 1].isalnum()) for k, c in enumerate(before))
-    closes = any(c in _closing and not after[k + 1 : k + 2].isalnum() for k, c in enumerate(after))
-    return opens and closes or (opens or closes) and bool(_reporting.search(before) or _reporting.search(after))
+    held = 0  # quotations open at the hit; a sign closes if one is open and no letter follows it
+    for k, c in enumerate(before):
+        if c in _closing and held and not before[k + 1 : k + 2].isalnum() and (k == 0 or not before[k - 1].isspace()):
+            held -= 1
+        elif c in _opening and (k == 0 or not before[k - 1].isalnum()):
+            held += 1
+    # after the hit the first sign tells: it closes what is open unless it opens anew
+    closes = False
+    for k, c in enumerate(after):
+        if c in _closing and not after[k + 1 : k + 2].isalnum() and (k == 0 or not after[k - 1].isspace()):
+            closes = True
+            break
+        if c in _opening and (k == 0 or not after[k - 1].isalnum()):
+            break
+    return bool(held and closes) or bool(held or closes) and bool(_reporting.search(before) or _reporting.search(after))
 
 
 @dataclass

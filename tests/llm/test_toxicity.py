@@ -1,5 +1,7 @@
 """The automaton against edit distance; scores on held-out labels."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -74,6 +76,57 @@ def test_misspelling_and_quotation(spark):
     assert abuse > 0.5 > clean and misspelled > clean and quote < abuse and quote < 0.5
 
 
+def test_quotations_are_paired():
+    at = lambda t: toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5)
+    assert at('she heard "you idiot" and left') and at("man rief „du idiot“ laut") and at("on entendit «quel idiot» hier")
+    # between two quotations, after one, before one
+    assert not at('"hi," and then. you idiot. "bye."') and not at('"hi." you idiot') and not at('you idiot. "bye."')
+    assert at('he said "you idiot') and not at("don't be an idiot, isn't it") and not at("you idiot")
+    assert at('"one" and "two idiot three" and "four"') and not at('"one" and idiot and "two"')
+
+
+def plain_match(entries, exact, word):
+    """The nearest entry by edit distance to every one."""
+    near = []
+    for k, e in enumerate(entries):
+        if not e.endswith("*"):
+            d = distance(word, e)
+            if d <= (0 if k in exact else (len(e) >= toxicity.ONE_EDIT) + (len(e) >= toxicity.TWO_EDITS)):
+                near.append((d, k))
+    stems = [(len(e), k) for k, e in enumerate(entries) if e.endswith("*") and word.startswith(e[:-1])]
+    best = min(near) if near else None
+    return best if best and (best[0] == 0 or not stems) else (0, max(stems)[1]) if stems else None
+
+
+def plain_score(model, text):
+    """The score from edit distances to every entry and the sums of the model, without the automaton."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text.lower())]
+    exact = {k for k, v in enumerate(model.missed) if not v}
+    sums = {True: {}, False: {}}
+    for word, start, end in words:
+        if (hit := plain_match(model.entries, exact, word)) is not None:
+            of = sums[toxicity.quoted(text.lower(), start, end)]
+            of[hit[1], hit[0] > 0] = of.get((hit[1], hit[0] > 0), 0) + 1
+    weighed = lambda of: math.log1p(sum((model.missed if e else model.weights)[k] * math.log1p(n) for (k, e), n in of.items()))
+    abuse = sums[False]
+    x = [weighed(abuse), weighed(sums[True]), float(bool(abuse)), sum(abuse.values()) / max(1, len(words)), math.log1p(len(words))]
+    z = model.bias + sum(s * (v - m) / d for s, v, m, d in zip(model.slopes, x, model.mean, model.scale))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_match_a_plain_version(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.learn(docs, toxicity.learnable(spark.read.parquet(f"{folder}/labels.parquet")))
+    assert model.entries
+    rows = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in sorted(docs.collect(), key=lambda r: len(r.text))[:120]:
+        assert abs(rows[r.doc_id] - plain_score(model, r.text)) < 1e-9
+    made = train(spark)
+    for text in ('you idiot, you "idiot" and morron', "fools and foolish moron's idiiot", "", "l'idiot"):
+        assert abs(made.score(text) - plain_score(made, text)) < 1e-9
+
+
 def test_nulls_and_tables_without_labels(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "x " * 100_000)], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label")
     model = train(spark)
