@@ -12,8 +12,8 @@ within the radius, so each pair of blocks is the key of one table.
 
 Cases: a null text is empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Documents that share an id share their next
-document, the row of the next id with the least text; its text is copied from and
-its fingerprint is compared. A single document is its own next. Bits whose votes
+document, the row of the next id whose text has the least hash; its text is copied
+from and its fingerprint is compared. A single document is its own next. Bits whose votes
 are even are 0. Very long texts vote whole, up to 2^28 terms. Ids are whole
 numbers; a null id, as the least 64-bit number stands for it, comes before all
 others. Only the id and text columns are read, whatever the names of others; an
@@ -89,16 +89,16 @@ def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next_id, text, edited): the edited text has the first code points of the next document in place of the last half. Of the next text only the code points needed are shuffled."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+    """(id, next_id, text, hash, edited): the edited text has the first code points of the next document in place of the last half. Of the next text only the code points needed are shuffled."""
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     after = next_ids(own, "id", half)
-    provider = own.select(F.col("id").alias("next_id"), "text")
-    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
-    given = given.groupBy("id", "next_id").agg(F.min("prefix").alias("prefix")).withColumnRenamed("id", "of")
+    provider = own.select(F.col("id").alias("next_id"), "text", "hash")
+    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], "hash", F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
+    given = given.groupBy("id", "next_id").agg(F.min(F.struct("hash", "prefix")).alias("least")).select(F.col("id").alias("of"), "next_id", "least.prefix")
     both = own.join(given, own["id"] == given["of"])
     changed = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("prefix", F.lit(1), half))
-    return both.select(F.col("id").alias(id_col), "next_id", "text", changed.alias("edited"))
+    return both.select(F.col("id").alias(id_col), "next_id", "text", "hash", changed.alias("edited"))
 
 
 def differing(a: list[Column], b: list[Column]) -> Column:
@@ -110,17 +110,18 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, next_id, n_chars, edited_sha256, f1, f2, e1, e2): fingerprints of every document and of its edited text, written in the shared folder."""
+    """(doc_id, next_id, hash, n_chars, edited_sha256, f1, f2, e1, e2): fingerprints of every document and of its edited text, written in the shared folder."""
     pairs = edited(docs, id_col, text_col)
     rows = pairs.select(
         F.col(id_col).alias("doc_id"),
         "next_id",
+        "hash",
         F.monotonically_increasing_id().alias("row"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))).alias("sides"),
     )
-    keys = ["doc_id", "next_id", "row", "n_chars", "edited_sha256"]
+    keys = ["doc_id", "next_id", "hash", "row", "n_chars", "edited_sha256"]
     # each step apart: what stands beside an explode is computed for every row that it makes
     sides = rows.select(*keys, F.explode("sides").alias("side")).select(*keys, F.col("side.which").alias("which"), terms(F.col("side.text")).alias("terms"))
     exploded = sides.select(*keys, "which", F.explode("terms").alias("term"))
@@ -135,7 +136,7 @@ def as_hex(a: str, b: str) -> Column:
 
 def compare(found: DataFrame) -> DataFrame:
     """Likeness of each document's fingerprint to that of its edited text and of the next document."""
-    following = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("f1", "f2")).alias("n"))
+    following = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("hash", "f1", "f2")).alias("n"))
     both = found.join(following, found["next_id"] == following["id"])
     mine = [F.col("f1"), F.col("f2")]
     return both.select(

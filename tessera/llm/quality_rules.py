@@ -10,7 +10,10 @@ labelled rows reach the driver; the verdict runs on every document.
 Cases: a null or empty text has no words, so the base rules reject it. Without
 labels, or with labels of one kind, the list is empty and the base rules decide.
 Repeated rows stay separate rows. Columns besides the id and the text don't
-matter. Array functions work on one text at a time; equal lines and repeated
+matter. Of thresholds with equal gain the first in the order of FEATURES is taken,
+of labelled rows with equal hashes the lesser id; a document that meets several
+rules has the first one's number. Ids are of the labels' type. Neither rules nor
+their conditions are limited in number. Array functions work on one text at a time; equal lines and repeated
 windows are found by hashing and sorting, so that a long text isn't compared
 with itself pair by pair.
 """
@@ -114,11 +117,11 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return reduce(np.logical_and, (x[:, f] >= t if sign == ">=" else x[:, f] <= t for f, sign, t in rule), np.ones(len(x), bool))
 
 
-def grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], most: int = 3) -> Rule:
+def grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray]) -> Rule:
     """Adds the threshold with the largest gain until no good row is covered or nothing is gained."""
     rule: Rule = []
     inside = np.ones(len(x), bool)
-    while len(rule) < most and (inside & ~bad).any():
+    while (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         before, top = np.log2(p0 / (p0 + n0)) if p0 else 0.0, (1e-9, None)
         for f, places in enumerate(cuts):
@@ -148,7 +151,7 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule
 
 
-def learn(x: np.ndarray, labels: np.ndarray, most: int = 12, least: int = 5, precision: float = 0.97) -> list[Rule]:
+def learn(x: np.ndarray, labels: np.ndarray, least: int = 5, precision: float = 0.97) -> list[Rule]:
     """The ordered rules that reject, from features and labels (1 is good)."""
     bad, rules, left = labels == 0, [], np.ones(len(labels), bool)
     if not bad.any() or bad.all():
@@ -161,7 +164,7 @@ def learn(x: np.ndarray, labels: np.ndarray, most: int = 12, least: int = 5, pre
         return bool(p >= least and p >= precision * found.sum() and not ((b & bad).any() and worth(rule, x[b], bad[b]) <= 0))
 
     passed_over: set[int] = set()  # features that a rule began with which wasn't precise
-    while len(rules) < most and (left & bad).sum() >= least:
+    while (left & bad).sum() >= least:
         a, b = left & grown, left & ~grown
         edges = [np.unique(np.quantile(x[a & bad, f], np.linspace(0, 1, 21))) if f not in passed_over and (a & bad).any() else [] for f in range(x.shape[1])]
         full = grow(x[a], bad[a], edges)

@@ -79,3 +79,27 @@ def test_nulls_ties_and_small_tables(spark):
     nameless = spark.createDataFrame([(None, "abcd"), (7, "wxyz")], "doc_id long, text string")
     assert {r.doc_id: r.edited_sha256 for r in fp.compare(fp.with_edited(nameless)).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((None, "abwx"), (7, "wxab"))}
     assert fp.compare(fp.with_edited(df.limit(0))).count() == 0
+
+
+def test_repeated_ids_compare_the_row_that_is_copied(spark):
+    texts = [f"words {'of many kinds ' * k} end {k}" for k in range(9)]
+    df = spark.createDataFrame([(1, texts[8]), *((2, t) for t in texts[:8])], "doc_id long, text string")
+    row = {r.doc_id: r for r in fp.compare(fp.with_edited(df)).filter("doc_id = 1").collect()}[1]
+    least = df.filter("doc_id = 2").orderBy(F.xxhash64("text")).first().text
+    half = len(texts[8]) // 2
+    assert row.edited_sha256 == hashlib.sha256((texts[8][: len(texts[8]) - half] + least[:half]).encode()).hexdigest()
+    alone = {r.text: (r.f1, r.f2) for r in fp.fingerprints(df, "text").join(df.select("text").distinct(), "text").collect()}
+    bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(alone[texts[8]], alone[least]))
+    assert abs(row.near_next - (1 - bits / 128)) < 1e-12
+
+
+def test_fingerprints_of_the_query_match_a_plain_vote(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").orderBy(F.length("text")).limit(60)
+    terms = docs.select("doc_id", F.explode(fp.terms(F.col("text"))).alias("t")).select("doc_id", fp.weight(F.col("t")).alias("w"), *(h.alias(f"h{k}") for k, h in enumerate(fp.hashes(F.col("t"))))).collect()
+    got = {r.doc_id: int(r.fingerprint, 16) for r in op3_fingerprints(spark, folder).collect()}
+    for i in {r.doc_id for r in terms}:
+        of, want = [r for r in terms if r.doc_id == i], 0
+        for h in ("h0", "h1"):
+            want = want << 64 | sum(1 << b for b in range(64) if 2 * sum(r.w for r in of if r[h] >> b & 1) > sum(r.w for r in of))
+        assert got[i] == want

@@ -54,7 +54,26 @@ def test_rules_hold_on_other_rows(spark):
     x, y = q.labelled(docs, labels.filter(held), 2000)
     rejected = np.any([q.holds(r, x) for r in rules], axis=0)
     assert np.mean(rejected[y == 0]) > 0.95 and np.mean(rejected[y == 1]) < 0.02
-    assert all(len(r) <= 3 for r in rules)
+
+
+def test_conjunctions_are_grown_and_pruned(spark):
+    """Labels that no single threshold tells: bad where three statistics lie in a box, or two others in another."""
+    rng = np.random.default_rng(3)
+    x = rng.random((6000, len(q.FEATURES)))
+    bad = (x[:, 0] >= 0.5) & (x[:, 1] <= 0.5) & (x[:, 2] >= 0.5) | (x[:, 3] <= 0.25) & (x[:, 4] >= 0.7)
+    rules = q.learn(x, np.where(bad, 0, 1), precision=0.9)
+    assert max(map(len, rules)) >= 2
+    found = lambda z: np.any([q.holds(r, z) for r in rules], axis=0)
+    fresh = rng.random((6000, len(q.FEATURES)))
+    truth = (fresh[:, 0] >= 0.5) & (fresh[:, 1] <= 0.5) & (fresh[:, 2] >= 0.5) | (fresh[:, 3] <= 0.25) & (fresh[:, 4] >= 0.7)
+    assert found(fresh)[truth].mean() > 0.8 and found(fresh)[~truth].mean() < 0.05
+    # the conditional expression gives the number of the first rule that holds
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(fresh[:400])], ["i", *q.FEATURES])
+    got = {r.i: r.rule for r in rows.select("i", q.verdict(rules).alias("rule")).collect()}
+    first = lambda k: next((n for n, r in enumerate(rules, 1) if q.holds(r, fresh[k : k + 1])[0]), 0)
+    assert got == {k: first(k) for k in range(400)}
+    padded = [*rules[0], (5, ">=", 0.0)]
+    assert q.prune(padded, x, bad) == q.prune(rules[0], x, bad)
 
 
 def test_without_labels(spark):
