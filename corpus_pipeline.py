@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 and returns a DataFrame with the columns of ``documents`` (the last: tokens).
 
-Cases: null texts count as empty; documents that share an id are judged alike
-where an operator decides by id. An empty table passes through every stage.
+Cases: null texts count as empty; very long texts are worked on whole. Rows that
+share an id, or have none, are documents of their own; of rows equal in id and
+text near-dedup keeps one. Of equal least ids in a group the text with the least
+hash stays. Columns beyond those of ``documents`` go, whatever their names. An
+empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -43,10 +46,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least document of each group of near duplicates, and every document without words."""
-    docs = columns_of(docs)
-    dropped = minhash.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return columns_of(docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti"))
+    """Keeps the least document of each group of near duplicates (one row of it), and every document without words."""
+    return columns_of(minhash.one_of_each(columns_of(docs)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
