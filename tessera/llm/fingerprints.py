@@ -90,15 +90,15 @@ def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, next_id, text, hash, edited): the edited text has the first code points of the next document in place of the last half. Of the next text only the code points needed are shuffled."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     after = next_ids(own, "id", half)
-    provider = own.select(F.col("id").alias("next_id"), "text", "hash")
-    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], "hash", F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
+    provider = own.select(F.col("id").alias("next_id"), "text")
+    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], F.xxhash64("text").alias("hash"), F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
     given = given.groupBy("id", "next_id").agg(F.min(F.struct("hash", "prefix")).alias("least")).select(F.col("id").alias("of"), "next_id", "least.prefix")
     both = own.join(given, own["id"] == given["of"])
     changed = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("prefix", F.lit(1), half))
-    return both.select(F.col("id").alias(id_col), "next_id", "text", "hash", changed.alias("edited"))
+    return both.select(F.col("id").alias(id_col), "next_id", "text", F.xxhash64("text").alias("hash"), changed.alias("edited"))
 
 
 def differing(a: list[Column], b: list[Column]) -> Column:
