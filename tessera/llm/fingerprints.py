@@ -8,7 +8,10 @@ sums of a text are made where its row is, without a shuffle of terms.
 
 The search puts fingerprints into tables by pairs of blocks: 128 bits in
 radius + 2 blocks, of which at least two agree between any two fingerprints
-within the radius, so each pair of blocks is the key of one table.
+within the radius, so each pair of blocks is the key of one table. The query searches all
+fingerprints of whole documents: ``n_within`` other fingerprints lie within RADIUS
+bits of a document's own, the ``nearest`` at that many bits. Links aren't capped:
+work grows with the pairs that share a key, rows with the links.
 
 Cases: a null text is empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Documents that share an id share their next
@@ -35,6 +38,12 @@ BITS = 128
 NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 HEAVIEST = 16
+#: Bits in which fingerprints that the search finds may differ.
+RADIUS = 3
+#: Fingerprints under one key of a block table that one part of the join takes.
+CROWD = 1024
+#: Parts that the rows of one fingerprint are dealt to.
+SHARES = 64
 
 
 def terms(text: Column) -> Column:
@@ -135,9 +144,9 @@ def as_hex(a: str, b: str) -> Column:
 
 
 def compare(found: DataFrame) -> DataFrame:
-    """Likeness of each document's fingerprint to that of its edited text and of the next document."""
+    """Likeness of each document's fingerprint to that of its edited text and of the next document, and what the search finds: n_within and nearest."""
     following = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("hash", "f1", "f2")).alias("n"))
-    both = found.join(following, found["next_id"] == following["id"])
+    both = with_neighbours(found).join(following, F.col("next_id") == F.col("id"))
     mine = [F.col("f1"), F.col("f2")]
     return both.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
@@ -147,28 +156,57 @@ def compare(found: DataFrame) -> DataFrame:
         as_hex("e1", "e2").alias("edited_fingerprint"),
         likeness(mine, [F.col("e1"), F.col("e2")]).alias("near_edited"),
         likeness(mine, [F.col("n.f1"), F.col("n.f2")]).alias("near_next"),
+        "n_within",
+        "nearest",
     )
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """First bit and length of radius + 2 blocks of all bits."""
+def block_masks(radius: int) -> list[tuple[int, int]]:
+    """For each of radius + 2 blocks of all bits, its bits in the two halves, as signed longs."""
     n = radius + 2
     ends = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+    ones = [(1 << BITS - a) - (1 << BITS - b) for a, b in zip(ends, ends[1:])]
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    return [(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in ones]
 
 
-def block(start: int, length: int) -> Column:
-    """Some bits of the fingerprint as text (a block can lie across both halves)."""
-    bits = F.concat(F.lpad(F.bin("f1"), 64, "0"), F.lpad(F.bin("f2"), 64, "0"))
-    return F.substring(bits, start + 1, length)
+def keyed(few: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(table, key, f1, f2): each fingerprint under its key in every table, a hash of the bits of the table's two blocks."""
+    key = lambda k, a, b: F.xxhash64(F.lit(k), *(F.col(f"f{h + 1}").bitwiseAND(F.lit(masks[a][h] | masks[b][h]).cast("long")) for h in (0, 1)))
+    tables = [F.struct(F.lit(k).alias("table"), key(k, a, b).alias("key")) for k, (a, b) in enumerate(combinations(range(len(masks)), 2))]
+    return few.select("f1", "f2", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", "f1", "f2")
 
 
-def within(found: DataFrame, radius: int = 3) -> DataFrame:
-    """(f1, f2, g1, g2, distance): all pairs of different fingerprints (the first the lesser) within the radius, each once. Copies count as one fingerprint, so a group of them gives no pairs; two blocks of the key must agree, so an unrelated fingerprint seldom meets."""
-    few = found.select("f1", "f2").distinct()
-    tables = [F.struct(F.lit(k).alias("table"), F.concat_ws("-", block(*a), block(*b)).alias("key")) for k, (a, b) in enumerate(combinations(blocks(radius), 2))]
-    keyed = few.select("f1", "f2", F.explode(F.array(*tables)).alias("t")).select("f1", "f2", "t.table", "t.key")
-    other = keyed.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "table", "key")
-    near = keyed.join(other, ["table", "key"]).filter(F.struct("f1", "f2") < F.struct(F.col("g1").alias("f1"), F.col("g2").alias("f2")))
+def first_met(masks: list[tuple[int, int]]) -> Column:
+    """Whether the two blocks of the row's table are the first two on which f and g agree: of all tables in which a pair meets, one alone counts it."""
+    same = [(F.col("f1").bitwiseXOR(F.col("g1")).bitwiseAND(F.lit(a).cast("long")) == 0) & (F.col("f2").bitwiseXOR(F.col("g2")).bitwiseAND(F.lit(b).cast("long")) == 0) for a, b in masks]
+    return reduce(lambda x, y: x | y, ((F.col("table") == k) & same[i] & same[j] & ~reduce(lambda x, y: x | y, [same[b] for b in range(j) if b != i], F.lit(False)) for k, (i, j) in enumerate(combinations(range(len(masks)), 2))))
+
+
+def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f1, f2, g1, g2, distance): all pairs of different fingerprints (the first the lesser) within the radius, each once. Copies count as one fingerprint, so a group of them gives no pairs. Keys of one fingerprint alone go before the join; those of more than CROWD are dealt to parts. Distances are tested within the join, which makes rows of links alone."""
+    masks = block_masks(radius)
+    entries = keyed(found.select("f1", "f2").distinct(), masks)
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # the parts that the fingerprints of a key are dealt to on one side; the other side comes to each part
+    met = written(entries.join(crowded, "key").select("table", "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
+    left = met.select("table", "key", "f1", "f2", F.pmod(F.xxhash64("f1", "f2"), "parts").alias("part"))
+    right = met.select(F.col("key").alias("other_key"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"))
     distance = differing([F.col("f1"), F.col("f2")], [F.col("g1"), F.col("g2")])
-    return near.select("f1", "f2", "g1", "g2", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    lesser = (F.col("f1") < F.col("g1")) | ((F.col("f1") == F.col("g1")) & (F.col("f2") < F.col("g2")))
+    near = left.join(right, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")) & lesser & (distance <= radius) & first_met(masks))
+    return near.select("f1", "f2", "g1", "g2", distance.cast("int").alias("distance"))
+
+
+def neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f1, f2, n_within, nearest): of each fingerprint that has any, how many other fingerprints lie within the radius, and the least distance."""
+    ends = within(found, radius).select("distance", F.explode(F.array(F.struct("f1", "f2"), F.struct(F.col("g1").alias("f1"), F.col("g2").alias("f2")))).alias("end"))
+    return ends.groupBy("end.f1", "end.f2").agg(F.count("*").alias("n_within"), F.min("distance").alias("nearest"))
+
+
+def with_neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``found`` with n_within (0 if there are none) and nearest (null). Rows of one fingerprint, of which copies make many, are dealt to SHARES tasks."""
+    near = neighbours(found, radius).select(F.col("f1").alias("n1"), F.col("f2").alias("n2"), "n_within", "nearest", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    dealt = found.withColumn("dealt", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
+    both = dealt.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")) & (F.col("dealt") == F.col("share")), "left")
+    return both.select(*found.columns, F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"), "nearest")

@@ -67,6 +67,27 @@ def test_search_matches_brute_force(spark):
         assert got == {frozenset((key(a), key(b))) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if (a ^ b).bit_count() <= radius}
 
 
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(fp, "CROWD", 7)
+    rng = random.Random(2)
+    seed = rng.getrandbits(128)
+    found = sorted({seed ^ sum(1 << b for b in rng.sample(range(128), k)) for k in (1, 1, 2, 2, 2, 3) for _ in range(40)} | {seed})
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    key = {(signed(x >> 64), signed(x & (1 << 64) - 1)): x for x in found}
+    df = spark.createDataFrame([*key, *list(key)[:30]], "f1 long, f2 long")
+    got = {key[r.f1, r.f2]: (r.n_within, r.nearest) for r in fp.neighbours(df, 3).collect()}
+    near = {x: [d for y in found if x != y and (d := (x ^ y).bit_count()) <= 3] for x in found}
+    assert got == {x: (len(n), min(n)) for x, n in near.items() if n}
+
+
+def test_search_of_the_query_matches_all_pairs(spark):
+    rows = op3_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    found = {int(r.fingerprint, 16) for r in rows}
+    near = {x: [d for y in found if x != y and (d := (x ^ y).bit_count()) <= fp.RADIUS] for x in found}
+    assert any(near.values())
+    assert all((r.n_within, r.nearest) == (len(n := near[int(r.fingerprint, 16)]), min(n, default=None)) for r in rows)
+
+
 def test_nulls_ties_and_small_tables(spark):
     rows = [(1, None), (2, ""), (3, "a"), (5, "one two three"), (5, "one two three"), (9, "x" * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS edited", "2 AS id", "3 AS row")
