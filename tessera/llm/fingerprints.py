@@ -72,17 +72,21 @@ def signed_bits(k: int) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), (one(b).cast("long") for b in range(64)))
 
 
-def fingerprint(rows: DataFrame, keys: list[str], term_col: str) -> DataFrame:
-    """(keys, f1, f2): the two halves of the fingerprint of each group's terms."""
+def summed(rows: DataFrame, keys: list[str], term_col: str) -> DataFrame:
+    """(keys, total, v...): the weights and votes of each group's terms."""
     hashed = rows.select(*keys, weight(F.col(term_col)).alias("weight"), *(h.alias(f"h{k}") for k, h in enumerate(hashes(F.col(term_col)))))
-    sums = hashed.groupBy(*keys).agg(F.sum("weight").alias("total"), *votes("h0", 0), *votes("h1", 1))
+    return hashed.groupBy(*keys).agg(F.sum("weight").alias("total"), *votes("h0", 0), *votes("h1", 1))
+
+
+def fingerprint(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, f1, f2): the two halves of the fingerprint that the votes make."""
     return sums.select(*keys, signed_bits(0).alias("f1"), signed_bits(1).alias("f2"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f1, f2) of each document's whole text."""
     rows = docs.select(id_col, F.monotonically_increasing_id().alias("row"), terms(text_or_empty(text_col)).alias("terms"))
-    return fingerprint(rows.select(id_col, "row", F.explode("terms").alias("term")), [id_col, "row"], "term").drop("row")
+    return fingerprint(summed(rows.select(id_col, "row", F.explode("terms").alias("term")), [id_col, "row"], "term"), [id_col, "row"]).drop("row")
 
 
 def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
@@ -98,7 +102,7 @@ def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next_id, text, hash, edited): the edited text has the first code points of the next document in place of the last half. Of the next text only the code points needed are shuffled."""
+    """(id, next_id, text, hash, n_kept, edited): the edited text has the first code points of the next document in place of the last half; n_kept stay before them. Of the next text only the code points needed are shuffled."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     after = next_ids(own, "id", half)
@@ -107,7 +111,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     given = given.groupBy("id", "next_id").agg(F.min(F.struct("hash", "prefix")).alias("least")).select(F.col("id").alias("of"), "next_id", "least.prefix")
     both = own.join(given, own["id"] == given["of"])
     changed = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("prefix", F.lit(1), half))
-    return both.select(F.col("id").alias(id_col), "next_id", "text", F.xxhash64("text").alias("hash"), changed.alias("edited"))
+    return both.select(F.col("id").alias(id_col), "next_id", "text", F.xxhash64("text").alias("hash"), (F.length("text") - half).alias("n_kept"), changed.alias("edited"))
 
 
 def differing(a: list[Column], b: list[Column]) -> Column:
@@ -118,9 +122,17 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
     return 1.0 - differing(a, b) / F.lit(float(BITS))
 
 
+def whole_words(text: Column, n: Column) -> Column:
+    """How many of the first n code points lie before the word that the nth is in: what follows can change no word among them."""
+    spaced = F.translate(F.substring(text, F.lit(1), n), SPACES, " " * len(SPACES))
+    return n - F.length(F.substring_index(spaced, " ", -1))
+
+
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, next_id, hash, n_chars, edited_sha256, f1, f2, e1, e2): fingerprints of every document and of its edited text, written in the shared folder."""
-    pairs = edited(docs, id_col, text_col)
+    """(doc_id, next_id, hash, n_chars, edited_sha256, f1, f2, e1, e2): fingerprints of every document and of its edited text, written in the shared folder. The words that both texts begin with vote once, for both."""
+    pairs = edited(docs, id_col, text_col).withColumn("n_shared", whole_words(F.col("text"), F.col("n_kept")))
+    part = lambda k, text: F.struct(F.lit(k).alias("part"), text.alias("text"))
+    rest = lambda c: F.substring(c, F.col("n_shared") + 1, F.length(c))
     rows = pairs.select(
         F.col(id_col).alias("doc_id"),
         "next_id",
@@ -128,13 +140,15 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.monotonically_increasing_id().alias("row"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))).alias("sides"),
+        F.array(part(0, F.substring("text", F.lit(1), F.col("n_shared"))), part(1, rest("text")), part(2, rest("edited"))).alias("parts"),
     )
     keys = ["doc_id", "next_id", "hash", "row", "n_chars", "edited_sha256"]
     # each step apart: what stands beside an explode is computed for every row that it makes
-    sides = rows.select(*keys, F.explode("sides").alias("side")).select(*keys, F.col("side.which").alias("which"), terms(F.col("side.text")).alias("terms"))
-    exploded = sides.select(*keys, "which", F.explode("terms").alias("term"))
-    found = fingerprint(exploded, [*keys, "which"], "term")
+    parts = rows.select(*keys, F.explode("parts").alias("of")).select(*keys, F.col("of.part").alias("part"), terms(F.col("of.text")).alias("terms"))
+    sums = summed(parts.select(*keys, "part", F.explode("terms").alias("term")), [*keys, "part"], "term")
+    of_sides = sums.withColumn("which", F.explode(F.when(F.col("part") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("part") - 1)))).drop("part")
+    counted = [c for c in of_sides.columns if c not in {*keys, "which"}]
+    found = fingerprint(of_sides.groupBy(*keys, "which").agg(*(F.sum(c).alias(c) for c in counted)), [*keys, "which"])
     side = lambda k, f: F.max(F.when(F.col("which") == k, F.col(f)))
     return written(found.groupBy(*keys).agg(side(0, "f1").alias("f1"), side(0, "f2").alias("f2"), side(1, "f1").alias("e1"), side(1, "f2").alias("e2")).drop("row"), "fingerprints")
 

@@ -67,6 +67,18 @@ def test_search_matches_brute_force(spark):
         assert got == {frozenset((key(a), key(b))) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if (a ^ b).bit_count() <= radius}
 
 
+def test_shared_words_vote_as_in_whole_texts(spark):
+    rng = random.Random(3)
+    texts = ["", " ", "a", "ab cd", "ab  cd\n", "longword" * 9, "x\ty\x0bz w", "é ü ñ", " lead and trail  ", "cut in\rmiddle words here"]
+    texts += ["".join(rng.choice("abcé \n\t") for _ in range(rng.randrange(80))) for _ in range(60)]
+    docs = list(enumerate(texts))
+    whole = spark.createDataFrame([*docs, *((1000 + i, t) for i, t in brute_edited(docs).items())], "doc_id long, text string")
+    want = {r.doc_id: (r.f1, r.f2) for r in fp.fingerprints(whole).collect()}
+    got = fp.with_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs)
+    assert all((r.f1, r.f2) == want[r.doc_id] and (r.e1, r.e2) == want[1000 + r.doc_id] for r in got)
+
+
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(fp, "CROWD", 7)
     rng = random.Random(2)
