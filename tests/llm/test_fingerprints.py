@@ -67,7 +67,7 @@ def test_search_matches_brute_force(spark):
         assert got == {frozenset((key(a), key(b))) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if (a ^ b).bit_count() <= radius}
 
 
-def test_shared_words_vote_as_in_whole_texts(spark):
+def test_both_fingerprints_are_those_of_whole_texts(spark):
     rng = random.Random(3)
     texts = ["", " ", "a", "ab cd", "ab  cd\n", "longword" * 9, "x\ty\x0bz w", "é ü ñ", " lead and trail  ", "cut in\rmiddle words here"]
     texts += ["".join(rng.choice("abcé \n\t") for _ in range(rng.randrange(80))) for _ in range(60)]
