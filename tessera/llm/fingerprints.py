@@ -42,7 +42,7 @@ HEAVIEST = 16
 RADIUS = 3
 #: Fingerprints under one key of a block table that one part of the join takes.
 CROWD = 1024
-#: Parts that the rows of one fingerprint are dealt to.
+#: Parts that the rows of a hot fingerprint are dealt to.
 SHARES = 64
 
 
@@ -204,9 +204,19 @@ def neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ends.groupBy("end.f1", "end.f2").agg(F.count("*").alias("n_within"), F.min("distance").alias("nearest"))
 
 
+def hot_fingerprints(found: DataFrame) -> DataFrame:
+    """(h1, h2, shares) of the fingerprints that more than CROWD rows and more than one in CROWD of all rows have: fewer than CROWD of them, however long the table."""
+    most = max(CROWD, found.count() // CROWD)
+    many = found.groupBy("f1", "f2").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    return many.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.lit(SHARES).alias("shares"))
+
+
 def with_neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``found`` with n_within (0 if there are none) and nearest (null). Rows of one fingerprint, of which copies make many, are dealt to SHARES tasks."""
-    near = neighbours(found, radius).select(F.col("f1").alias("n1"), F.col("f2").alias("n2"), "n_within", "nearest", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    dealt = found.withColumn("dealt", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
+    """The rows of ``found`` with n_within (0 if there are none) and nearest (null). Rows of a hot fingerprint, of which copies make many, are dealt to SHARES tasks."""
+    hot = F.broadcast(written(hot_fingerprints(found), "hot"))
+    is_hot = (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2"))
+    shares = F.coalesce("shares", F.lit(1))
+    near = neighbours(found, radius).join(hot, is_hot, "left").select(F.col("f1").alias("n1"), F.col("f2").alias("n2"), "n_within", "nearest", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    dealt = found.join(hot, is_hot, "left").withColumn("dealt", F.pmod(F.xxhash64("doc_id"), shares).cast("int"))
     both = dealt.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")) & (F.col("dealt") == F.col("share")), "left")
     return both.select(*found.columns, F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"), "nearest")

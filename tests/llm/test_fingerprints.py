@@ -90,6 +90,13 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     got = {key[r.f1, r.f2]: (r.n_within, r.nearest) for r in fp.neighbours(df, 3).collect()}
     near = {x: [d for y in found if x != y and (d := (x ^ y).bit_count()) <= 3] for x in found}
     assert got == {x: (len(n), min(n)) for x, n in near.items() if n}
+    # a hot fingerprint's rows are dealt to parts, others' aren't
+    rows = [(i, *k) for i, k in enumerate([*key, *[list(key)[3]] * 200])]
+    table = spark.createDataFrame(rows, "doc_id long, f1 long, f2 long")
+    assert [r.shares for r in fp.hot_fingerprints(table).collect()] == [fp.SHARES]
+    all_rows = fp.with_neighbours(table, 3).collect()
+    assert sorted(r.doc_id for r in all_rows) == list(range(len(rows)))
+    assert all((r.n_within, r.nearest) == (len(n := near[key[r.f1, r.f2]]), min(n, default=None)) for r in all_rows)
 
 
 def test_search_of_the_query_matches_all_pairs(spark):
