@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
+from tessera.llm import bpe, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
 from tessera.llm.common import documents, shared_folder, text_or_empty, words
 
 
@@ -66,6 +66,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return filter_audit.audit(filter_audit.histograms(filter_audit.masks(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -92,5 +98,38 @@ WITH rows AS (
 SELECT doc_id, count(*)::bigint AS n_lines, (count(*) FILTER (WHERE often.key IS NOT NULL))::bigint AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id, r
+""",
+    "op13_filter_audit": r"""
+WITH text AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), counted AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM text
+), doc AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e FROM counted
+), label AS (
+  SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), mask AS (
+  SELECT part, a, b, c, d, e, a::int + b::int + c::int + d::int + e::int AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM doc LEFT JOIN label USING (doc_id) GROUP BY ALL
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), permutation AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS o FROM letter p, letter q, letter r, letter s, letter t
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5
+), step AS (
+  SELECT o AS filter_order, step, o[step] AS f, o[1 : step - 1] AS before FROM permutation, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), hit AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails,
+    CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS own,
+    (a AND contains(before, 'A')) OR (b AND contains(before, 'B')) OR (c AND contains(before, 'C')) OR (d AND contains(before, 'D')) OR (e AND contains(before, 'E')) AS gone
+  FROM mask, step
+), total AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own AND fails = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM hit GROUP BY ALL
+)
+SELECT part, filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails,
+  good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::bigint AS shapley FROM total
 """,
 }
