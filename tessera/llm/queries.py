@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity
+from tessera.llm import bpe, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity, warc
 from tessera.llm.common import documents, shared_folder, text_or_empty, words
 
 
@@ -66,6 +66,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back: all urls are looked up in the index, all places that it gives are read."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    archive = warc.write(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    return archive.read(archive.find(pages), payload=False).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     return filter_audit.audit(filter_audit.histograms(filter_audit.masks(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -82,6 +93,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
@@ -98,6 +110,19 @@ WITH rows AS (
 SELECT doc_id, count(*)::bigint AS n_lines, (count(*) FILTER (WHERE often.key IS NOT NULL))::bigint AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id, r
+""",
+    # base32 as SQL: the digest's hex digits as bits, five of them for each sign
+    "op12_warc": r"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b FROM page
+)
+SELECT page_id, strlen(payload)::bigint AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(b, (5 * k + 1)::bigint, 1)::int + 8 * substr(b, (5 * k + 2)::bigint, 1)::int + 4 * substr(b, (5 * k + 3)::bigint, 1)::int + 2 * substr(b, (5 * k + 4)::bigint, 1)::int + substr(b, (5 * k + 5)::bigint, 1)::int)::bigint, 1)), '') AS payload_digest,
+  CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN first END AS refers_to
+FROM bits
 """,
     "op13_filter_audit": r"""
 WITH text AS (
