@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity, warc
+from tessera.llm import bpe, collocations, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity, warc
 from tessera.llm.common import documents, shared_folder, text_or_empty, words
 
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir, "text", "lang"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back: all urls are looked up in the index, all places that it gives are read."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -110,6 +115,35 @@ WITH rows AS (
 SELECT doc_id, count(*)::bigint AS n_lines, (count(*) FILTER (WHERE often.key IS NOT NULL))::bigint AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id, r
+""",
+    "op11_collocations": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents
+), line AS (
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+), f AS (
+  SELECT lang, p, count(*)::hugeint AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i])) AS p FROM line
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i : i + 1])) FROM line
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) FROM line
+  ) GROUP BY lang, p
+), total AS (
+  SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY lang
+), candidate AS (
+  SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidate) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), outer_most AS (
+  SELECT lang, p, max(a) AS outer_a FROM (SELECT lang, unnest([p[1 : 2], p[2 : 3]]) AS p, a FROM candidate WHERE len(p) = 3) GROUP BY lang, p
+), kept AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN outer_most USING (lang, p) WHERE outer_a IS NULL OR 100 * outer_a < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::bigint AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
     # base32 as SQL: the digest's hex digits as bits, five of them for each sign
     "op12_warc": r"""

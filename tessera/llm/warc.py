@@ -326,7 +326,8 @@ class Archive:
                             yield pa.RecordBatch.from_arrays(arrays, names=names_of)
 
         stretch = F.floor(F.col("offset") / STRETCH)
-        dealt = places.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+        # a number of parts of our own: rows are small, what they stand for isn't, so they mustn't be put together by size
+        dealt = places.select("file", "offset", "length").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "file", stretch).sortWithinPartitions("file", "offset")
         return dealt.mapInArrow(run, RECORD + ", payload binary" * payload)
 
 
