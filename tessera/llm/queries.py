@@ -120,13 +120,15 @@ FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id, r
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents
 ), line AS (
-  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+  SELECT lang, row_number() OVER () AS line, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+), word AS (
+  SELECT lang, line, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM line
+), next AS (
+  SELECT lang, w, lead(w) OVER here AS w2, lead(w, 2) OVER here AS w3 FROM word WINDOW here AS (PARTITION BY line ORDER BY place)
 ), f AS (
-  SELECT lang, p, count(*)::hugeint AS f FROM (
-    SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i])) AS p FROM line
-    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i : i + 1])) FROM line
-    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) FROM line
-  ) GROUP BY lang, p
+  SELECT lang, [w] AS p, count(*)::hugeint AS f FROM next GROUP BY ALL
+  UNION ALL SELECT lang, [w, w2], count(*) FROM next WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, [w, w2, w3], count(*) FROM next WHERE w3 IS NOT NULL GROUP BY ALL
 ), total AS (
   SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY lang
 ), candidate AS (
