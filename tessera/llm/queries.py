@@ -125,23 +125,25 @@ WITH piece AS (
   SELECT lang, line, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM line
 ), next AS (
   SELECT lang, w, lead(w) OVER here AS w2, lead(w, 2) OVER here AS w3 FROM word WINDOW here AS (PARTITION BY line ORDER BY place)
-), f AS (
-  SELECT lang, [w] AS p, count(*)::hugeint AS f FROM next GROUP BY ALL
-  UNION ALL SELECT lang, [w, w2], count(*) FROM next WHERE w2 IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT lang, [w, w2, w3], count(*) FROM next WHERE w3 IS NOT NULL GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT lang, 1 AS words, w AS p, count(*)::hugeint AS f FROM next GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM next WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM next WHERE w3 IS NOT NULL GROUP BY ALL
 ), total AS (
-  SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY lang
-), candidate AS (
-  SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 10
-), cut AS (
-  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
-  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidate) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]
+  SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang
+), candidate AS MATERIALIZED (
+  SELECT lang, words, p, string_split(p, ' ') AS w, f AS a FROM f WHERE words > 1 AND f >= 10
+), cut AS MATERIALIZED (
+  SELECT lang, p, a, 1 AS k, w[1] AS first, array_to_string(w[2 :], ' ') AS rest FROM candidate
+  UNION ALL SELECT lang, p, a, 2, array_to_string(w[1 : 2], ' '), w[3] FROM candidate WHERE words = 3
 ), lowest AS (
-  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.p = c.first JOIN f y ON y.lang = c.lang AND y.p = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, k) = 1
 ), outer_most AS (
-  SELECT lang, p, max(a) AS outer_a FROM (SELECT lang, unnest([p[1 : 2], p[2 : 3]]) AS p, a FROM candidate WHERE len(p) = 3) GROUP BY lang, p
+  SELECT lang, p, max(a) AS outer_a FROM (SELECT lang, array_to_string(w[1 : 2], ' ') AS p, a FROM candidate WHERE words = 3 UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidate WHERE words = 3) GROUP BY lang, p
 ), kept AS (
-  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN outer_most USING (lang, p) WHERE outer_a IS NULL OR 100 * outer_a < 50 * a
+  SELECT lang, p AS phrase, a, l, r, score FROM lowest LEFT JOIN outer_most USING (lang, p) WHERE outer_a IS NULL OR 100 * outer_a < 50 * a
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
 )
