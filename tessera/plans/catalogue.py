@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import user
-from tessera.operators import joins
+from tessera.operators import joins, vectors
 from tessera.plans import frames, relational
 from tessera.sources import formats
 from tessera.sources.tables import table
+from tessera.streaming import arrivals
 from tessera.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = relational.QUERIES | formats.QUERIES | user.QUERIES | streams.QUERIES | frames.QUERIES
-ORACLES: dict[str, str] = relational.ORACLES | formats.ORACLES | user.ORACLES | streams.ORACLES | frames.ORACLES
+QUERIES: dict[str, Query] = relational.QUERIES | formats.QUERIES | user.QUERIES | streams.QUERIES | arrivals.QUERIES | frames.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | formats.ORACLES | user.ORACLES | streams.ORACLES | arrivals.ORACLES | frames.ORACLES
 
 
 def customer_revenue_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def asof_purchase_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    return joins.asof(purchases, views, ["user_id"], "ts", "view_id").select("event_id", "view_id_asof")
+    return joins.asof_in_slices(purchases, views, ["user_id"], "ts", "view_id", 86_400).select("event_id", "view_id_asof")
 
 
 QUERIES["asof_purchase_view"] = asof_purchase_view
@@ -101,3 +102,60 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["union_by_name"] = union_by_name
 ORACLES["union_by_name"] = "SELECT r_name AS name, r_regionkey, n_nationkey FROM region LEFT JOIN (SELECT NULL::int AS n_nationkey) ON true UNION ALL SELECT n_name, NULL, n_nationkey FROM nation"
+
+
+def overlap_sessions_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions (half an hour without an event ends one) and the hours with errors that they reach into."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sessions = events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("first"), F.max("ts").alias("last")).select("user_id", "first", "last").withColumns({"a": micros("first"), "b": micros("last")})
+    hours = events.filter("event_type = 'error'").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("errors")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "errors")
+    # the hour's last microsecond still belongs to it
+    hours = hours.withColumn("c", micros("hour")).withColumn("d", F.col("c") + 3_599_999_999)
+    return joins.overlapping(sessions, hours, ("a", "b"), ("c", "d"), 60_000_000.0).select("user_id", "first", "hour", "errors")
+
+
+QUERIES["overlap_sessions_errors"] = overlap_sessions_errors
+ORACLES["overlap_sessions_errors"] = """
+WITH sessions AS (
+  SELECT user_id, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s
+  FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY user_id, s
+), hours AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1
+)
+SELECT user_id, first, hour, errors FROM sessions JOIN hours ON first < hour + INTERVAL 1 HOUR AND hour <= last
+"""
+
+
+def overlap_own_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of ten days from an order on meet the years' quarters: long spans against short ones."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("a")).withColumn("b", F.col("a") + 9)
+    day = F.col("o_orderdate").cast("date")
+    quarters = table(spark, sf_dir, "orders").select(F.date_trunc("quarter", day).cast("date").alias("quarter")).distinct()
+    quarters = quarters.withColumns({"c": F.unix_date("quarter"), "d": F.unix_date(F.add_months("quarter", 3)) - 1})
+    return joins.overlapping(orders, quarters, ("a", "b"), ("c", "d"), 8.0).groupBy("quarter").agg(F.count("*").alias("n"))
+
+
+QUERIES["overlap_own_orders"] = overlap_own_orders
+ORACLES["overlap_own_orders"] = """
+WITH quarters AS (SELECT DISTINCT date_trunc('quarter', o_orderdate)::date AS quarter FROM orders)
+SELECT quarter, count(*) AS n FROM orders JOIN quarters ON o_orderdate::date < (quarter + INTERVAL 3 MONTH)::date AND o_orderdate::date + 9 >= quarter GROUP BY quarter
+"""
+
+
+def vector_index_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other vector of each whose id is divisible by 20, by the index of all rows; ``vector_top1`` has the exact answer."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vectors.build(rows, "vec_id", "embedding")
+    return index.search(rows.filter("vec_id % 20 = 0"), "vec_id", "embedding").select("q", "nearest", F.round("likeness", 5).alias("likeness"))
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds a vector as near as the exact search's for nine in ten queries or more."""
+    exact = QUERIES["vector_top1"](spark, sf_dir).select("q", F.col("likeness").alias("best"))
+    found = exact.join(vector_index_top1(spark, sf_dir), "q", "left")
+    return found.agg((F.avg((F.coalesce("likeness", F.lit(-2.0)) >= F.col("best")).cast("double")) >= 0.9).alias("near"))
+
+
+QUERIES |= {"vector_index_top1": vector_index_top1, "vector_index_recall": vector_index_recall}
+ORACLES["vector_index_recall"] = "SELECT true AS near"

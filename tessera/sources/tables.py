@@ -10,9 +10,3 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the folder; the scan keeps column pruning and filter pushdown."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Makes every table of the folder a temporary view of its own name."""
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
