@@ -27,8 +27,8 @@ WHERE r_name = 'ASIA' GROUP BY n_name""",
     "like_predicates": "SELECT p_partkey, p_name FROM part WHERE p_brand LIKE 'Brand#1%' OR lower(p_type) LIKE '%ss' OR p_name LIKE '_a%'",
     "in_between_null": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice BETWEEN 1000 AND 50000 AND o_orderpriority IS NOT NULL",
     "conditionals": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'much' END AS band, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, greatest(c_acctbal, 0.0) AS up, least(c_acctbal, 100.0) AS down FROM customer",
-    "null_safe_equality": "SELECT a, b, a IS NOT DISTINCT FROM b AS same, a = b AS equal FROM (VALUES (1, 1), (1, 2), (1, NULL), (NULL, 1), (NULL, NULL)) AS t(a, b)",
-    "try_casts": "SELECT s, try_cast(s AS int) AS i, try_cast(s AS double) AS d FROM (VALUES ('12'), ('x'), ('1.5'), (NULL)) AS t(s) WHERE s IS NULL OR s <> '1.5'",
+    "null_safe_equality": "SELECT c_custkey, a IS NOT DISTINCT FROM b AS same, a = b AS equal FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS a, nullif(c_mktsegment, CASE WHEN c_nationkey < 12 THEN 'BUILDING' ELSE 'MACHINERY' END) AS b FROM customer) AS t",
+    "try_casts": "SELECT c_custkey, try_cast(c_mktsegment AS int) AS i, try_cast(split_part(c_name, '#', 2) AS int) AS n, try_cast(CASE WHEN c_nationkey % 3 = 0 THEN concat(CAST(c_nationkey AS string), '.5') ELSE c_mktsegment END AS double) AS d, try_cast(nullif(c_mktsegment, 'BUILDING') AS date) AS day FROM customer",
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
     "qualify_by_subquery": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) AS t WHERE k = 1",
     # joins
@@ -36,9 +36,9 @@ WHERE r_name = 'ASIA' GROUP BY n_name""",
     "anti_join": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "left_join": "SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "right_join": "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey",
-    "full_join": "SELECT a.k AS ak, b.k AS bk, x, y FROM (VALUES (1, 'p'), (2, 'q'), (NULL, 'r')) AS a(k, x) FULL OUTER JOIN (VALUES (2, 's'), (2, 't'), (3, 'u'), (NULL, 'v')) AS b(k, y) ON a.k = b.k",
-    "null_keys_dont_match": "SELECT a.k, x, y FROM (VALUES (1, 'p'), (NULL, 'r')) AS a(k, x) JOIN (VALUES (1, 's'), (NULL, 'v')) AS b(k, y) ON a.k = b.k",
-    "not_in_with_null": "SELECT k FROM (VALUES (1), (2)) AS a(k) WHERE k NOT IN (SELECT k FROM (VALUES (1), (NULL)) AS b(k))",
+    "full_join": "SELECT a.k AS ak, b.k AS bk, o_orderkey, c_name FROM (SELECT nullif(o_custkey % 60, 7) AS k, o_orderkey FROM orders) AS a FULL OUTER JOIN (SELECT nullif(c_custkey, 9) AS k, c_name FROM customer WHERE c_custkey % 3 = 0) AS b ON a.k = b.k",
+    "null_keys_dont_match": "SELECT a.k, o_orderkey, c_name FROM (SELECT nullif(o_custkey, 7) AS k, o_orderkey FROM orders) AS a JOIN (SELECT nullif(c_custkey, 9) AS k, c_name FROM customer) AS b ON a.k = b.k",
+    "not_in_with_null": "SELECT 'with null' AS list, c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT nullif(n_nationkey, 3) FROM nation WHERE n_nationkey < 10) UNION ALL SELECT 'without', c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT nullif(n_nationkey, 3) FROM nation WHERE n_nationkey < 10 AND n_nationkey <> 3) UNION ALL SELECT 'null asks', c_custkey FROM customer WHERE nullif(c_nationkey, 20) NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 10)",
     "using_join": "SELECT r_name, n_name FROM (SELECT n_regionkey AS k, n_name FROM nation) AS n JOIN (SELECT r_regionkey AS k, r_name FROM region) AS r USING (k)",
     "theta_join_small": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "self_join_pairs": "SELECT a.o_custkey, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey GROUP BY a.o_custkey",
@@ -51,7 +51,7 @@ WHERE r_name = 'ASIA' GROUP BY n_name""",
     "moments": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS cv FROM lineitem GROUP BY l_returnflag",
     "booleans_and_bits": "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS every_one, bool_or(o_totalprice > 400000) AS any_one, bit_and(o_orderkey) AS ba, bit_or(o_orderkey) AS bo, bit_xor(o_orderkey) AS bx FROM orders GROUP BY o_orderstatus",
     "aggregate_of_nothing": "SELECT count(*) AS n, sum(l_linenumber) IS NULL AS no_sum, max(l_tax) AS top FROM lineitem WHERE l_quantity < 0",
-    "null_group_key": "SELECT k, count(*) AS n, count(x) AS xs FROM (VALUES (1, 2), (NULL, 3), (NULL, NULL)) AS t(k, x) GROUP BY k",
+    "null_group_key": "SELECT k, count(*) AS n, count(x) AS xs, max(x) AS top FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS k, nullif(c_nationkey, 5) AS x FROM customer) AS t GROUP BY k",
     # windows
     "window_ranks": "SELECT o_orderkey, CAST(row_number() OVER w AS bigint) AS rn, CAST(rank() OVER w AS bigint) AS rk, CAST(dense_rank() OVER w AS bigint) AS dr, CAST(ntile(4) OVER w AS bigint) AS nt, cume_dist() OVER w AS cd, percent_rank() OVER w AS pr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)",
     "window_lag_lead": "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(event_type) OVER w AS first_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
@@ -72,7 +72,7 @@ WHERE r_name = 'ASIA' GROUP BY n_name""",
     "intersect_all": "SELECT l_linenumber AS k FROM lineitem WHERE l_quantity > 45 INTERSECT ALL SELECT CAST(p_size AS int) FROM part",
     "except_distinct": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "except_all": "SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_quantity > 49",
-    "recursive_numbers": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS bigint) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t",
+    "recursive_turns": "WITH RECURSIVE walk(conv_id, turn, said, chars) AS (SELECT conv_id, turn, CAST(role AS string), CAST(length(text) AS bigint) FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, concat(w.said, ' ', c.role), w.chars + length(c.text) FROM walk w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1) SELECT conv_id, turn, said, chars FROM walk",
     # subqueries
     "scalar_subquery": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)",
     "correlated_scalar": "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
