@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import user
-from tessera.operators import joins, vectors
+from tessera.functions import html, user
+from tessera.operators import excluded, joins, samples, sketches, vectors
 from tessera.plans import frames, relational
 from tessera.sources import formats
+from tessera.sources.scratch import written
 from tessera.sources.tables import table
 from tessera.streaming import arrivals
 from tessera.streaming import events as streams
@@ -159,3 +160,96 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"vector_index_top1": vector_index_top1, "vector_index_recall": vector_index_recall}
 ORACLES["vector_index_recall"] = "SELECT true AS near"
+
+
+def sample_per_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty orders of each priority, the same on every run."""
+    return samples.stratified(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderkey"], 40, seed=7).select("o_orderpriority", "o_orderkey")
+
+
+def sample_by_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many orders of each status as are asked for."""
+    return samples.stratified(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey"], {"F": 100, "P": 25}, seed=1).select("o_orderstatus", "o_orderkey")
+
+
+def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders of each status, to the row."""
+    return samples.shares(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey"], 0.1, seed=3).select("o_orderstatus", "o_orderkey")
+
+
+QUERIES |= {"sample_per_priority": sample_per_priority, "sample_by_sizes": sample_by_sizes, "sample_shares": sample_shares}
+ORACLES |= {
+    "sample_per_priority": "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7|' || o_orderkey)) <= 40",
+    "sample_by_sizes": "SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('1|' || o_orderkey)) <= CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 25 ELSE 0 END",
+    "sample_shares": "SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('3|' || o_orderkey)) <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.1)",
+}
+
+
+def extremes_query(by: str, exclude: str, frame: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Dearest and cheapest order of the frame, the current row's peers left out."""
+        return excluded.extremes(table(spark, sf_dir, "orders"), [by], "o_orderdate", "o_totalprice", exclude, frame).select("o_orderkey", "x_max", "x_min")
+
+    return run
+
+
+def extremes_sql(by: str, exclude: str, frame: str) -> str:
+    reach = {"all": "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", "so_far": "UNBOUNDED PRECEDING AND CURRENT ROW", "from_here": "CURRENT ROW AND UNBOUNDED FOLLOWING"}[frame]
+    return f"SELECT o_orderkey, max(o_totalprice) OVER w AS x_max, min(o_totalprice) OVER w AS x_min FROM orders WINDOW w AS (PARTITION BY {by} ORDER BY o_orderdate RANGE BETWEEN {reach} EXCLUDE {exclude})"
+
+
+for _name, _of in {"exclude_group_extremes": ("o_orderstatus", "GROUP", "all"), "exclude_ties_extremes": ("o_orderpriority", "TIES", "so_far"), "exclude_current_extremes": ("o_custkey", "CURRENT ROW", "from_here")}.items():
+    QUERIES[_name], ORACLES[_name] = extremes_query(*_of), extremes_sql(*_of)
+
+
+def day_of(column: str) -> Column:
+    return F.col(column).cast("date")
+
+
+def sketch_store_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each run of days up to a day, from sketches of single days that are stored and united: whether both estimates lie within five in a hundred."""
+    events = table(spark, sf_dir, "events").select("ts", "user_id")
+    days = written(sketches.distinct_by(events, day_of("ts"), "user_id"), "distinct")
+    ends = ("2024-01-02", "2024-01-09", "2024-01-30")
+    found = None
+    for end in ends:
+        one = sketches.united(days.filter(F.col("period") <= end)).crossJoin(events.filter(day_of("ts") <= end).agg(F.countDistinct("user_id").alias("n")))
+        close = lambda c: F.abs(F.col(c) - F.col("n")) <= 0.05 * F.col("n")
+        one = one.select(F.lit(end).alias("until"), close("hll").alias("hll"), close("theta").alias("theta"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def sketch_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user over ten days, from count-min tables of single days: whether the estimate isn't too low and within its bound."""
+    events = table(spark, sf_dir, "events").select("ts", "user_id")
+    stored = written(sketches.frequencies_by(events, day_of("ts"), "user_id"), "frequencies")
+    until = "2024-01-10"
+    exact = events.filter(day_of("ts") <= until).groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("n"))
+    found = sketches.estimated(stored.filter(F.col("period") <= until), exact).join(exact, "item")
+    near = (F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + F.lit(sketches.slack()) * F.col("total"))
+    return found.select(F.col("item").alias("user_id"), near.alias("near"))
+
+
+def sketch_store_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of event that make up a fifth of thirty days, from tables of single days alone; so few that their counts are exact."""
+    events = table(spark, sf_dir, "events").select("ts", "event_type")
+    stored = written(sketches.frequencies_by(events, day_of("ts"), "event_type"), "frequencies")
+    candidates = written(sketches.frequent_by(events, day_of("ts"), "event_type", 0.2), "frequent")
+    return sketches.heavy(stored, candidates, 0.2).select(F.col("item").alias("event_type"), F.col("estimate").alias("n"))
+
+
+QUERIES |= {"sketch_store_distinct": sketch_store_distinct, "sketch_store_counts": sketch_store_counts, "sketch_store_heavy": sketch_store_heavy}
+ORACLES |= {
+    "sketch_store_distinct": "SELECT unnest(['2024-01-02', '2024-01-09', '2024-01-30']) AS until, true AS hll, true AS theta",
+    "sketch_store_counts": "SELECT DISTINCT user_id, true AS near FROM events WHERE ts < TIMESTAMP '2024-01-11'",
+    "sketch_store_heavy": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= 0.2 * (SELECT count(*) FROM events)",
+}
+
+
+def html_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each page, by a tokenizer; tests hold it against the standard library's parser on all pages."""
+    return table(spark, sf_dir, "pages").select("page_id", html.page_text("html").alias("text"))
+
+
+QUERIES["html_page_text"] = html_page_text

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
+from tessera.sources.parts import Parts
 from tessera.sources.tables import table
 from tessera.streaming.events import scratch
 
@@ -62,42 +60,21 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.sum(F.length("content")).alias("bytes"))
 
 
-class Squares(DataSource):
-    """Whole numbers and their squares up to the option ``n``, made in four partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tessera_squares"
-
-    def schema(self) -> str:
-        return "k long, square long"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return SquaresReader(int(self.options.get("n", 100)))
-
-
-class SquaresReader(DataSourceReader):
-    def __init__(self, n: int) -> None:
-        self.n = n
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(4)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[int, int]]:
-        for k in range(partition.value, self.n, 4):
-            yield k, k * k
-
-
 def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(Squares)
-    return spark.read.format("tessera_squares").option("n", 1000).load()
+    """Customers written to and read from a format of our own; the filters are pushed to its reader."""
+    folder = scratch(spark, "parts")
+    spark.dataSource.register(Parts)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment"))
+    customers.write.format("tessera_parts").mode("append").option("path", folder).option("group_rows", 1000).save()
+    return spark.read.format("tessera_parts").option("path", folder).load().filter("c_acctbal > 5000 AND segment IN ('FURNITURE', 'MACHINERY') AND c_name LIKE '%1'")
 
 
 _customers = "SELECT c_custkey, c_name, c_acctbal FROM customer"
 QUERIES = {f"format_{k}": through(k) for k in ("parquet", "orc", "json", "csv", "xml")} | {"format_text": text_lines, "partition_pruning": pruned_partitions, "bucketed_join": bucketed_join, "binary_files": binary_files, "python_source": python_source}
 ORACLES = {f"format_{k}": _customers for k in ("parquet", "orc", "json", "csv", "xml")} | {
     "binary_files": "SELECT sum(strlen(c_name) + 1)::bigint AS bytes FROM customer",
-    "python_source": "SELECT k, k * k AS square FROM range(1000) AS t(k)",
+    "python_source": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment AS segment FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IN ('FURNITURE', 'MACHINERY') AND c_name LIKE '%1'",
     "format_text": "SELECT c_name AS value FROM customer",
     "partition_pruning": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'",
     "bucketed_join": "SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
