@@ -16,6 +16,7 @@ tokenizer file that asks for more than plain byte-level BPE is refused.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import sys
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
 LONG = 256
-#: Pre-tokens that a worker remembers; beyond it, others are encoded anew each time.
+#: Pre-tokens of up to LONG bytes that a worker remembers; others are encoded anew each time.
 REMEMBERED = 400_000
 ROWS = 256
 
@@ -89,7 +90,9 @@ class Codec(dict):
 
     def __missing__(self, token: str) -> bytes:
         parts = [self.first[b] for b in token.encode()]
-        packed = pack(self.merge(parts) if len(parts) <= LONG else self.merge_long(parts))
+        if len(parts) > LONG:  # not remembered: what is has a bound in bytes
+            return pack(self.merge_long(parts))
+        packed = pack(self.merge(parts))
         if len(self) < REMEMBERED:
             self[token] = packed
         return packed
@@ -152,18 +155,21 @@ def unpack(packed: bytes) -> array:
     return out
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def codec_of(shared) -> Codec:
     """A worker builds the tables of a broadcast vocabulary once."""
     if shared.value["key"] not in _codecs:
+        _codecs.clear()  # a worker holds one
         _codecs[shared.value["key"]] = Codec(shared.value)
     return _codecs[shared.value["key"]]
 
 
 def _broadcast(df: DataFrame, vocabulary: str):
-    return df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary) | {"key": vocabulary})
+    with open(vocabulary, "rb") as f:  # by content: a worker outlives a file
+        key = hashlib.sha256(f.read()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary) | {"key": key})
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, beside: tuple = ()) -> DataFrame:

@@ -240,7 +240,10 @@ class Store:
     def placed(self) -> DataFrame:
         """The rows of the newest version with ``shard``, the file that holds each."""
         rows = self.read()
-        return rows.withColumn(*unused(rows.columns, "shard"), F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32}/.+)$", 1))
+        (name,) = unused(rows.columns, "shard")
+        if not self.manifest()[0]:  # no shard, no file that a row could name
+            return rows.withColumn(name, F.lit(""))
+        return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"(data/[0-9a-f]{32}/.+)$", 1))
 
     def delete_at_end(self) -> None:
         self._files.deleteOnExit(self._at(""))

@@ -12,9 +12,8 @@ without edits. Around each hit a window of text tells quotation
 (quote signs on both sides, words of reporting) from abuse. Scores come from a
 logistic model of the weighed hits.
 
-The lexicon's bounds are parameters of the fit on the labelled sample, as SAMPLE
-is: CANDIDATES keys that tell most, and ENTRIES chosen from these. Nothing else
-is bounded.
+The lexicon is chosen from every key of the labelled sample that tells toxic texts;
+only the sample is bounded, by SAMPLE. A worker's tasks share one automaton.
 
 Cases: a null or empty text has no hits and the score of such texts. Very long
 texts are read whole; a hit's context is its window alone. Of entries as near to
@@ -34,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ from tessera.llm.common import written
 
 #: Labelled rows that the lexicon and the model are learned from, at most; chosen by a hash of the id.
 SAMPLE = 20_000
-#: Keys that lexicon entries are chosen from, and entries, at most, besides the words among the keys that begin with a chosen stem.
-CANDIDATES, ENTRIES = 4_000, 300
+#: States of an automaton that a worker remembers; with more it begins anew.
+STATES = 200_000
 #: Shortest and longest stem; letters from which one edit, or two, are a misspelling.
 STEM = (4, 8)
 ONE_EDIT, TWO_EDITS = 5, 9
@@ -194,7 +194,13 @@ class Model:
         self.automaton = Automaton(self.entries, frozenset(k for k, v in enumerate(self.missed) if not v))
 
     def __reduce__(self):
-        return Model, (self.entries, self.weights, self.missed, self.mean, self.scale, self.slopes, self.bias)
+        return remembered, (*map(tuple, (self.entries, self.weights, self.missed, self.mean, self.scale, self.slopes)), self.bias)
+
+    def refreshed(self) -> Model:
+        """The model, with its automaton's states forgotten if they have become too many."""
+        if len(self.automaton.sets) > STATES:
+            self.__post_init__()
+        return self
 
     def found(self, text: str) -> set[int]:
         """The entries in a text, misspelled ones too."""
@@ -226,6 +232,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+@lru_cache(maxsize=2)
+def remembered(*parts) -> Model:
+    """A worker's tasks share a model, and so the states that its automaton has been in."""
+    return Model(*map(list, parts[:-1]), parts[-1])
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of this task's labelled texts: toxic texts and others that have them."""
     toxic, other = Counter(), Counter()
@@ -252,7 +264,7 @@ def nested(keys: list[str]) -> list[list[int]]:
 
 
 def choose(candidates: list[tuple[str, int, int]], texts: list[list[int]], n_toxic: int, n_other: int) -> tuple[list[str], list[float]]:
-    """Entries that cover the toxic texts (each a list of candidates' numbers) COVER times, those with most weight on uncovered texts first, and of equal ones that of most letters; nested ones count once for a text. The candidates that are words of a chosen stem follow, so that they are read with edits too, and, as far as ENTRIES goes, the other words, which texts covered by others have."""
+    """Entries that cover the toxic texts (each a list of candidates' numbers) COVER times, those with most weight on uncovered texts first, and of equal ones that of most letters; nested ones count once for a text. The other candidates that are words follow, those of a chosen stem first, so that all are read with edits too. Nothing but the labelled texts bounds their number."""
     keys = [key for key, _, _ in candidates]
     odds = [math.log((t + 0.5) / (n_toxic + 1)) - math.log((o + 0.5) / (n_other + 1)) for _, t, o in candidates]
     related, size = nested(keys), [(len(key.rstrip("*")), not key.endswith("*"), key) for key in keys]
@@ -264,7 +276,7 @@ def choose(candidates: list[tuple[str, int, int]], texts: list[list[int]], n_tox
     # texts that a candidate would cover, and how often these still need covering in all
     opened, wanted = [set(found) for found in inside], [COVER * len(found) for found in inside]
     left = set(range(len(keys)))
-    while len(chosen) < ENTRIES and left:
+    while left:
         k = max(left, key=lambda j: (wanted[j] * odds[j], size[j]))
         if len(opened[k]) < 3:
             break
@@ -285,7 +297,7 @@ def choose(candidates: list[tuple[str, int, int]], texts: list[list[int]], n_tox
     entries = list(dict.fromkeys([*chosen, *words]))
     taken = set(entries)
     others = [k for k, key in enumerate(keys) if k not in taken and not key.endswith("*")]
-    entries += others[: max(0, ENTRIES - len(entries))]
+    entries += others
     return [keys[k] for k in entries], [min(odds[k], 6.0) for k in entries]
 
 
@@ -316,7 +328,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     counts = texts.mapInArrow(counted, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
     often = counts.filter(F.col("toxic") >= max(3, n_toxic // 500)).withColumn("lift", lift).filter(F.col("lift") > LIFT)
-    candidates = [(r.key, r.toxic, r.other) for r in often.orderBy(F.desc(F.col("lift") * F.col("toxic")), F.length("key"), "key").limit(CANDIDATES).collect()]
+    # keys of the labelled texts, which ``sample`` bounds
+    candidates = [(r.key, r.toxic, r.other) for r in often.orderBy(F.desc(F.col("lift") * F.col("toxic")), F.length("key"), "key").collect()]
     number = {key: k for k, (key, _, _) in enumerate(candidates)}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +376,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
+                model.refreshed()
                 scores = [model.score(t or "") for t in rows.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(rows.columns if keep else rows.columns[:1]), pa.array(scores, pa.float64())], names=[*names, out])
 

@@ -82,3 +82,22 @@ def test_other_tokenizers_are_refused(tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, decoded=True).count() == 0
+
+
+def test_long_pre_tokens_arent_remembered():
+    codec = bpe.Codec(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    for k in range(20):
+        codec.encode("x" * 5000 + str(k) + "short")
+    assert max(len(t.encode()) for t in codec) <= bpe.LONG
+
+
+def test_a_changed_file_is_read_anew(spark, tmp_path):
+    """Workers are used again; the tables that they keep are told by the file's content."""
+    said = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    path, docs = tmp_path / "t.json", spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
+    path.write_text(json.dumps(said))
+    before = bpe.digests(bpe.encode(docs, str(path), decoded=True)).first()
+    said["model"]["merges"] = []
+    path.write_text(json.dumps(said))
+    after = bpe.digests(bpe.encode(docs, str(path), decoded=True)).first()
+    assert after.n_tokens == len("hello there") > before.n_tokens and after.decoded_sha256 == before.decoded_sha256

@@ -116,3 +116,12 @@ def test_empty_table_and_query(spark, tmp_path):
     got = op1_sharding(spark, "/root/testdata/sf0.01")
     want = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.sha2(F.col("text").cast("binary"), 256), F.col("n_chars"))
     assert rows_of(got.select("doc_id", "text_sha256", "n_chars")) == rows_of(want)
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    """No rows in, no rows out, under the columns that any other table gives."""
+    from tessera.llm.queries import QUERIES
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    empty = QUERIES["op1_sharding"](spark, f"file://{tmp_path}")
+    assert empty.collect() == [] and empty.dtypes == QUERIES["op1_sharding"](spark, "/root/testdata/sf0.001").dtypes

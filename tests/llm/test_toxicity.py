@@ -1,10 +1,13 @@
 """The automaton against edit distance; scores on held-out labels."""
 
 import math
+import pickle
+import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -160,3 +163,45 @@ def test_learned_words_are_read_with_edits(spark):
             assert all(match(w) for v in sorted(once)[::9] for w in one_edit(v)), term
     assert not [w for w in clean if match(w)]
     assert model.score("you are wqrthless") > 0.5 > model.score("a worthy pathway to discover")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_choice_as_a_plain_greedy(seed):
+    """Every round recounted from the texts; no number of entries is cut off."""
+    at = random.Random(seed)
+    words = [at.choice(["abcde", "abcdx", "bcdef", "cdefghij", "xyz"]) + at.choice(["", "q", "rst", "uvwxyz"]) + str(k % 7).translate(str.maketrans("0123456", "klmnopq")) for k in range(450)]
+    keys = sorted({k for w in words for k in toxicity.keys_of(w)})
+    texts = [sorted(j for w in at.sample(words, at.randrange(1, 9)) for j in {keys.index(k) for k in toxicity.keys_of(w)}) for _ in range(300)]
+    texts = [sorted(set(t)) for t in texts]
+    candidates = [(key, sum(k in t for t in texts), at.randrange(3)) for k, key in enumerate(keys)]
+    odds = [math.log((t + 0.5) / 301) - math.log((o + 0.5) / 901) for _, t, o in candidates]
+    related = toxicity.nested(keys)
+    need, chosen = [toxicity.COVER] * len(texts), []
+    while len(chosen) < len(keys):
+        def still(j):
+            return [i for i, t in enumerate(texts) if j in t and need[i] and not any(k in t for k in chosen if k in related[j])]
+
+        there = {j: still(j) for j in range(len(keys)) if j not in chosen}
+        k = max(there, key=lambda j: (sum(need[i] for i in there[j]) * odds[j], len(keys[j].rstrip("*")), not keys[j].endswith("*"), keys[j]))
+        if len(there[k]) < 3:
+            break
+        for i in there[k]:
+            need[i] -= 1
+        chosen.append(k)
+    entries, weights = toxicity.choose(candidates, texts, 300, 900)
+    assert entries[: len(chosen)] == [keys[k] for k in chosen] and len(entries) == len(set(entries)) == len(weights)
+    assert {k for k in keys if not k.endswith("*")} <= set(entries)
+
+
+def test_entries_have_no_limit():
+    words = [f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(900)]
+    entries, _ = toxicity.choose([(w, 3, 0) for w in words], [[k] for k in range(900)] * 3, 2700, 2700)
+    assert sorted(entries) == sorted(words)
+
+
+def test_a_worker_keeps_one_models_states():
+    model = toxicity.Model(["idiot"], [1.0], [1.0])
+    one, two = (pickle.loads(pickle.dumps(model)) for _ in range(2))
+    assert one is two and one.found("you idiott") == {0}
+    one.automaton.sets += [frozenset()] * toxicity.STATES
+    assert one.refreshed().automaton.match("idiot") == (0, 0) and len(one.automaton.sets) < 100
