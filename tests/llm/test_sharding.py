@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.queries import op1_sharding
-from tessera.llm.sharding import CommitConflict, Shard, Store, shard
+from tessera.llm.sharding import PART, CommitConflict, Part, Shard, Store, paths, shard
 
 SIZES = {"target_bytes": 64_000, "smallest_bytes": 2_000, "fan_in": 3}
 
@@ -110,6 +110,53 @@ def test_plan_takes_the_lowest_full_tier(spark, tmp_path):
     assert store.plan([Shard("x", 900, 7), Shard("y", 900, 7)]) == []
 
 
+def test_commits_among_many_shards(spark, tmp_path, monkeypatch):
+    """What a commit and a merge read and write doesn't grow with the shards that have reached their size."""
+    df = spark.createDataFrame([(k, "text") for k in range(40)], "doc_id long, text string").coalesce(1)
+    load, save, costs = Store._load, Store._save, {}
+    for listed in (2_000, 100_000):
+        store = Store(spark, f"file://{tmp_path}/m{listed}", **SIZES)
+        store.commit(0, [Shard(f"data/{k // 500:032x}/part-{k}", 64_000, 4, 500) for k in range(listed)], df.schema)
+        read, wrote = [], []
+        monkeypatch.setattr(Store, "_load", lambda self, name: read.append(name) or load(self, name))
+        monkeypatch.setattr(Store, "_save", lambda self, name, said: wrote.append((name, len(said))) or save(self, name, said))
+        for _ in range(3):
+            store.append(df)
+        assert store.compact() == 5
+        monkeypatch.undo()
+        costs[listed] = sum(n.startswith("lists/") for n in read), [n for name, n in wrote if name.startswith("lists/")]
+        shards, _ = store.manifest()
+        parts, _ = store.parts()
+        assert len(shards) == listed + 1 and len(parts) == listed // PART + 1
+        assert len(paths(shards)) == listed // 500 + 1
+    assert costs[2_000] == costs[100_000] and sum(costs[100_000][1]) < 20
+
+
+def test_lists_that_merges_break(spark, tmp_path, monkeypatch):
+    """Lists that lose shards are written anew with what is left; short ones are brought together; nothing is lost or listed twice."""
+    monkeypatch.setattr("tessera.llm.sharding.PART", 10)
+    store = Store(spark, f"file://{tmp_path}/l", **SIZES)
+    schema = spark.createDataFrame([], "doc_id long").schema
+    want: set[str] = set()
+    for k in range(40):
+        added = [Shard(f"data/{k}/part-{j}", 64_000 if j % 3 == 0 else 500, 0, 7) for j in range(7)]
+        gone = frozenset(sorted(s.file for s in store.manifest()[0] if s.bytes == 500)[k % 5 : 20 : 2]) if k % 2 else frozenset()
+        store.change(added, schema, gone)
+        want = (want - gone) | {s.file for s in added}
+        found, parts = [s.file for s in store.manifest()[0]], store.parts()[0]
+        assert sorted(found) == sorted(want)
+        assert all(store._is_open(s) == p.open for p in parts for s in store.listed([p])) and sum(p.shards for p in parts) == len(want)
+        assert sum(p.shards < 5 for p in parts) <= 3 and all(p.shards <= 10 for p in parts)
+    with pytest.raises(CommitConflict):  # settled shards are nobody's to merge
+        store.change([], schema, frozenset([next(s.file for s in store.manifest()[0] if s.bytes > 500)]))
+    lists = lambda: {f"lists/{p.name}" for p in (tmp_path / "l/lists").glob("*.json")}
+    store.vacuum(1)
+    assert lists() == {p.file for p in store.parts()[0]} and sorted(s.file for s in store.manifest()[0]) == sorted(want)
+    with pytest.raises(CommitConflict):
+        store.commit(1 + len(range(38)), [Part("lists/none.json", 1, True), Shard("data/x/part-0", 1, 0)], schema)
+    assert lists() == {p.file for p in store.parts()[0]}
+
+
 def test_empty_table_and_query(spark, tmp_path):
     empty = shard(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/d")
     assert empty.read().count() == 0
