@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, collocations, filter_audit, fingerprints, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity, warc
+from tessera.llm import bpe, collocations, filter_audit, fingerprints, in_sql, line_dedup, minhash, mixing, pii, quality_bayes, quality_rules, sharding, toxicity, warc
 from tessera.llm.common import documents, shared_folder, text_or_empty, words
 
 
@@ -100,6 +100,7 @@ QUERIES = {
     "op11_collocations": op11_collocations,
     "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
+    **in_sql.QUERIES,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -195,4 +196,5 @@ WITH text AS (
 SELECT part, filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails,
   good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::bigint AS shapley FROM total
 """,
+    **in_sql.ORACLES,
 }
