@@ -38,8 +38,8 @@ BITS = 128
 NO_ID = -(1 << 63)
 LANES = 0x0000000100000001
 HEAVIEST = 16
-#: Bits in which fingerprints that the search finds may differ.
-RADIUS = 3
+#: Bits in which fingerprints that the search finds may differ: the most whose keys (two of eight blocks) still have 32 bits.
+RADIUS = 6
 #: Fingerprints under one key of a block table that one part of the join takes.
 CROWD = 1024
 #: Parts that the rows of a hot fingerprint are dealt to.
@@ -171,16 +171,17 @@ def block_masks(radius: int) -> list[tuple[int, int]]:
 
 
 def keyed(few: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    """(table, key, f1, f2): each fingerprint under its key in every table, a hash of the bits of the table's two blocks."""
-    key = lambda k, a, b: F.xxhash64(F.lit(k), *(F.col(f"f{h + 1}").bitwiseAND(F.lit(masks[a][h] | masks[b][h]).cast("long")) for h in (0, 1)))
-    tables = [F.struct(F.lit(k).alias("table"), key(k, a, b).alias("key")) for k, (a, b) in enumerate(combinations(range(len(masks)), 2))]
-    return few.select("f1", "f2", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", "f1", "f2")
+    """(blocks, key, f1, f2): each fingerprint under its key in every table, a hash of the bits of the table's two blocks; ``blocks`` has a bit set for each of the two."""
+    key = lambda a, b: F.xxhash64(F.lit(1 << a | 1 << b), *(F.col(f"f{h + 1}").bitwiseAND(F.lit(masks[a][h] | masks[b][h]).cast("long")) for h in (0, 1)))
+    tables = [F.struct(F.lit(1 << a | 1 << b).alias("blocks"), key(a, b).alias("key")) for a, b in combinations(range(len(masks)), 2)]
+    return few.select("f1", "f2", F.explode(F.array(*tables)).alias("t")).select("t.blocks", "t.key", "f1", "f2")
 
 
 def first_met(masks: list[tuple[int, int]]) -> Column:
     """Whether the two blocks of the row's table are the first two on which f and g agree: of all tables in which a pair meets, one alone counts it."""
-    same = [(F.col("f1").bitwiseXOR(F.col("g1")).bitwiseAND(F.lit(a).cast("long")) == 0) & (F.col("f2").bitwiseXOR(F.col("g2")).bitwiseAND(F.lit(b).cast("long")) == 0) for a, b in masks]
-    return reduce(lambda x, y: x | y, ((F.col("table") == k) & same[i] & same[j] & ~reduce(lambda x, y: x | y, [same[b] for b in range(j) if b != i], F.lit(False)) for k, (i, j) in enumerate(combinations(range(len(masks)), 2))))
+    same = lambda a, b: (F.col("f1").bitwiseXOR(F.col("g1")).bitwiseAND(F.lit(a).cast("long")) == 0) & (F.col("f2").bitwiseXOR(F.col("g2")).bitwiseAND(F.lit(b).cast("long")) == 0)
+    agree = reduce(lambda x, y: x + y, (F.when(same(a, b), 1 << k).otherwise(0) for k, (a, b) in enumerate(masks)))
+    return agree.bitwiseAND(F.col("upto")) == F.col("blocks")
 
 
 def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -189,8 +190,10 @@ def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     entries = keyed(found.select("f1", "f2").distinct(), masks)
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # the parts that the fingerprints of a key are dealt to on one side; the other side comes to each part
-    met = written(entries.join(crowded, "key").select("table", "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
-    left = met.select("table", "key", "f1", "f2", F.pmod(F.xxhash64("f1", "f2"), "parts").alias("part"))
+    met = written(entries.join(crowded, "key").select("blocks", "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
+    # the bits of all blocks up to the second of the two
+    upto = 2 * (F.col("blocks") - F.col("blocks").bitwiseAND(-F.col("blocks"))) - 1
+    left = met.select("blocks", upto.alias("upto"), "key", "f1", "f2", F.pmod(F.xxhash64("f1", "f2"), "parts").alias("part"))
     right = met.select(F.col("key").alias("other_key"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"))
     distance = differing([F.col("f1"), F.col("f2")], [F.col("g1"), F.col("g2")])
     lesser = (F.col("f1") < F.col("g1")) | ((F.col("f1") == F.col("g1")) & (F.col("f2") < F.col("g2")))

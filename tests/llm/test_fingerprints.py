@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.queries import op3_fingerprints
 
 
@@ -60,7 +61,7 @@ def test_search_matches_brute_force(spark):
     found = seeds + [s ^ sum(1 << b for b in rng.sample(range(128), k)) for s in seeds for k in (1, 2, 3, 4, 5)] + seeds[:9]
     signed = lambda x: x - (1 << 64) * (x >> 63)
     df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in found], "f1 long, f2 long")
-    for radius in (0, 1, 3):
+    for radius in (0, 1, 3, 6):
         got = {frozenset(((r.f1, r.f2), (r.g1, r.g2))) for r in fp.within(df, radius).collect()}
         key = lambda x: (signed(x >> 64), signed(x & (1 << 64) - 1))
         distinct = sorted(set(found))
@@ -79,6 +80,21 @@ def test_both_fingerprints_are_those_of_whole_texts(spark):
     assert all((r.f1, r.f2) == want[r.doc_id] and (r.e1, r.e2) == want[1000 + r.doc_id] for r in got)
 
 
+def test_recall_of_linked_documents_by_radius(spark):
+    """Of the documents that five-word shingles link to a text of another fingerprint, those whose fingerprints the search finds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = fp.fingerprints(docs).cache()
+    key = {r.doc_id: (r.f1, r.f2) for r in found.collect()}
+    linked = {frozenset((key[r.doc_id], key[r.component_id])) for r in near_duplicates(docs).collect() if key[r.doc_id] != key[r.component_id]}
+    met = {radius: {frozenset(((r.f1, r.f2), (r.g1, r.g2))) for r in fp.within(found, radius).collect()} for radius in (fp.RADIUS, 16)}
+    assert linked and len(linked & met[16]) >= 0.9 * len(linked)
+    assert linked & met[fp.RADIUS] == {p for p in linked if fp_distance(*p) <= fp.RADIUS}
+
+
+def fp_distance(a, b):
+    return sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+
+
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(fp, "CROWD", 7)
     rng = random.Random(2)
