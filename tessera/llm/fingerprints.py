@@ -11,7 +11,8 @@ radius + 2 blocks, of which at least two agree between any two fingerprints
 within the radius, so each pair of blocks is the key of one table. The query searches all
 fingerprints of whole documents: ``n_within`` other fingerprints lie within RADIUS
 bits of a document's own, the ``nearest`` at that many bits. Links aren't capped:
-work grows with the pairs that share a key, rows with the links.
+work grows with the pairs that share a key; they are counted in arrays of a key's
+fingerprints, so no row is made for a link. ``within`` gives the links themselves.
 
 Cases: a null text is empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Documents that share an id share their next
@@ -177,34 +178,52 @@ def keyed(few: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     return few.select("f1", "f2", F.explode(F.array(*tables)).alias("t")).select("t.blocks", "t.key", "f1", "f2")
 
 
-def first_met(masks: list[tuple[int, int]]) -> Column:
+def first_met(masks: list[tuple[int, int]], g1: Column, g2: Column) -> Column:
     """Whether the two blocks of the row's table are the first two on which f and g agree: of all tables in which a pair meets, one alone counts it."""
-    same = lambda a, b: (F.col("f1").bitwiseXOR(F.col("g1")).bitwiseAND(F.lit(a).cast("long")) == 0) & (F.col("f2").bitwiseXOR(F.col("g2")).bitwiseAND(F.lit(b).cast("long")) == 0)
+    same = lambda a, b: (F.col("f1").bitwiseXOR(g1).bitwiseAND(F.lit(a).cast("long")) == 0) & (F.col("f2").bitwiseXOR(g2).bitwiseAND(F.lit(b).cast("long")) == 0)
     agree = reduce(lambda x, y: x + y, (F.when(same(a, b), 1 << k).otherwise(0) for k, (a, b) in enumerate(masks)))
     return agree.bitwiseAND(F.col("upto")) == F.col("blocks")
 
 
-def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(f1, f2, g1, g2, distance): all pairs of different fingerprints (the first the lesser) within the radius, each once. Copies count as one fingerprint, so a group of them gives no pairs. Keys of one fingerprint alone go before the join; those of more than CROWD are dealt to parts. Distances are tested within the join, which makes rows of links alone."""
-    masks = block_masks(radius)
+def met_in_tables(found: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(blocks, upto, key, f1, f2, parts), written: the entries of all tables but those of keys that one fingerprint alone has. upto has the bits of all blocks up to the second of the two; the fingerprints of a key are dealt to parts of about CROWD. Copies count as one fingerprint."""
     entries = keyed(found.select("f1", "f2").distinct(), masks)
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # the parts that the fingerprints of a key are dealt to on one side; the other side comes to each part
-    met = written(entries.join(crowded, "key").select("blocks", "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
-    # the bits of all blocks up to the second of the two
     upto = 2 * (F.col("blocks") - F.col("blocks").bitwiseAND(-F.col("blocks"))) - 1
-    left = met.select("blocks", upto.alias("upto"), "key", "f1", "f2", F.pmod(F.xxhash64("f1", "f2"), "parts").alias("part"))
-    right = met.select(F.col("key").alias("other_key"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other_part"))
+    return written(entries.join(crowded, "key").select("blocks", upto.alias("upto"), "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
+
+
+def in_part() -> Column:
+    return F.pmod(F.xxhash64("f1", "f2"), "parts").alias("part")
+
+
+def every_part() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+
+
+def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f1, f2, g1, g2, distance): all pairs of different fingerprints (the first the lesser) within the radius, each once. Distances are tested within the join, which makes rows of links alone."""
+    masks = block_masks(radius)
+    met = met_in_tables(found, masks)
+    left = met.select("blocks", "upto", "key", "f1", "f2", in_part())
+    right = met.select(F.col("key").alias("other_key"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), every_part().alias("other_part"))
     distance = differing([F.col("f1"), F.col("f2")], [F.col("g1"), F.col("g2")])
     lesser = (F.col("f1") < F.col("g1")) | ((F.col("f1") == F.col("g1")) & (F.col("f2") < F.col("g2")))
-    near = left.join(right, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")) & lesser & (distance <= radius) & first_met(masks))
+    near = left.join(right, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")) & lesser & (distance <= radius) & first_met(masks, F.col("g1"), F.col("g2")))
     return near.select("f1", "f2", "g1", "g2", distance.cast("int").alias("distance"))
 
 
 def neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(f1, f2, n_within, nearest): of each fingerprint that has any, how many other fingerprints lie within the radius, and the least distance."""
-    ends = within(found, radius).select("distance", F.explode(F.array(F.struct("f1", "f2"), F.struct(F.col("g1").alias("f1"), F.col("g2").alias("f2")))).alias("end"))
-    return ends.groupBy("end.f1", "end.f2").agg(F.count("*").alias("n_within"), F.min("distance").alias("nearest"))
+    """(f1, f2, n_within, nearest): of each fingerprint that has any, how many other fingerprints lie within the radius, and the least distance. Each entry of a table meets the parts of its key as arrays and counts in them, so rows grow with the entries (times the parts of keys of more than CROWD) and not with the links."""
+    masks = block_masks(radius)
+    met = met_in_tables(found, masks)
+    parts = met.groupBy(F.col("key").alias("other_key"), in_part().alias("other_part")).agg(F.collect_list(F.struct(F.col("f1").alias("g1"), F.col("f2").alias("g2"))).alias("others"))
+    entries = met.select("blocks", "upto", "key", "f1", "f2", every_part().alias("part"))
+    both = entries.join(parts, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")))
+    away = lambda g: differing([F.col("f1"), F.col("f2")], [g["g1"], g["g2"]])
+    near = F.filter("others", lambda g: away(g).between(1, radius) & first_met(masks, g["g1"], g["g2"]))
+    counted = both.select("f1", "f2", F.transform(near, away).alias("distances")).select("f1", "f2", F.size("distances").alias("n"), F.array_min("distances").alias("nearest"))
+    return counted.filter("n > 0").groupBy("f1", "f2").agg(F.sum("n").alias("n_within"), F.min("nearest").cast("int").alias("nearest"))
 
 
 def hot_fingerprints(found: DataFrame) -> DataFrame:
