@@ -62,9 +62,18 @@ def discard(table: DataFrame) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows with their partitions as they are, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows with their partitions as they are, in the shared folder; the files go when the session ends."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    place = checkpoint_of(out)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return out
+
+
+def checkpoint_of(table: DataFrame):
+    """The folder of a ``checkpointed`` table, as a path of the JVM."""
+    return table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
 
 
 def unused(taken: list[str], *wanted: str) -> list[str]:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tessera.llm import line_dedup
+from tessera.llm.common import checkpoint_of, checkpointed
 from tessera.llm.queries import ORACLES, op2_line_dedup
 
 UP = {ord(a): a.lower() for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -92,3 +93,13 @@ def test_null_and_repeated_ids_lose_their_own_lines(spark, tmp_path, kind):
 
 def test_empty_table(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_checkpoints_go_with_the_session(spark):
+    table = checkpointed(spark.range(5).toDF("id"))
+    place = checkpoint_of(table)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(place) and sorted(r.id for r in table.collect()) == list(range(5))
+    # true only of a path that is marked
+    assert files.cancelDeleteOnExit(place)
+    files.deleteOnExit(place)
