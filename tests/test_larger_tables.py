@@ -3,8 +3,10 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tessera.plans import catalogue
+from tessera.streaming import arrivals, events
 from test_catalogue import rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +26,25 @@ def test_years_of_five_and_six_digits(spark, tmp_path):
     at = datetime.datetime(1999, 5, 6)
     spark.createDataFrame([(k, at) for k in keys], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     agrees(spark, tmp_path, "timestamps_parsed", "orders")
+
+
+def copied(spark, folder, times):
+    """The events again and again over the same days, with ids and users of their own."""
+    many = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).selectExpr("event_id + k * 1000 AS event_id", "ts", "user_id + k * 15 AS user_id", "event_type", "value", "props")
+    many.write.parquet(f"{folder}/events.parquet")
+
+
+def test_arrivals_go_by_time_whatever_the_ids(spark, tmp_path):
+    """Ids that don't rise with time make no event late."""
+    copied(spark, tmp_path, 3)
+    agrees(spark, tmp_path, "stream_weeks_by_user", "events")
+    agrees(spark, tmp_path, "stream_hours_across_parts", "events")
+
+
+def test_weeks_of_missing_values(spark):
+    """A missing value counts as an event but isn't the largest, in one arrival and over two."""
+    events.rocksdb(spark)
+    at = lambda day, value: (1, 7, "click", value, datetime.datetime(2024, 1, day, 12))
+    part = lambda *of: spark.createDataFrame(list(of), "event_id long, user_id long, event_type string, value double, ts timestamp")
+    told, _ = arrivals.run_in_parts([part(at(2, None), at(3, 1.5)), part(at(4, None), at(9, None)), part(at(30, 1.0))], arrivals.weekly)
+    assert sorted(map(tuple, told.collect())) == [(7, datetime.date(2024, 1, 1), "click", 3, 1.5), (7, datetime.date(2024, 1, 8), "click", 1, None)]
