@@ -1,10 +1,13 @@
 """Queries on tables of a shape that larger ones have: large keys, repeated rows, many groups, other partitions. Held against the other engine."""
 
 import datetime
+import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import user
 from tessera.plans import catalogue
 from tessera.streaming import arrivals, events
 from test_catalogue import rows
@@ -48,3 +51,24 @@ def test_weeks_of_missing_values(spark):
     part = lambda *of: spark.createDataFrame(list(of), "event_id long, user_id long, event_type string, value double, ts timestamp")
     told, _ = arrivals.run_in_parts([part(at(2, None), at(3, 1.5)), part(at(4, None), at(9, None)), part(at(30, 1.0))], arrivals.weekly)
     assert sorted(map(tuple, told.collect())) == [(7, datetime.date(2024, 1, 1), "click", 3, 1.5), (7, datetime.date(2024, 1, 8), "click", 1, None)]
+
+
+@pytest.mark.parametrize("name", ["approx_distinct_bound", "sketch_bounds"])
+def test_no_sketch_for_each_distinct_value(spark, name):
+    """No step of the plan keeps sketches by status and order key."""
+    plan = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    by_value = [line for line in plan.splitlines() if re.search(r"Aggregate \[l_linestatus#\d+, l_orderkey#\d+L?\]", line)]
+    assert by_value and not any(re.search("sketch|approx|median|percentile", line) for line in by_value)
+
+
+def test_cogrouped_customers_share_calls(spark, tmp_path, monkeypatch):
+    """Repeated customers, missing keys, orders of nobody, a customer with most orders; a call for each group of many customers, not for each customer."""
+    customers = [(1, 5.0), (1, 5.0), (1, 7.0), (2, None), (None, 1.0), (2**53 + 1, 4.0), *((k, 1.0) for k in range(10, 400))]
+    orders = [(k, 1) for k in range(500)] + [(500, 2), (None, 2), (501, None), (502, 999), (503, 2**53 + 1)]
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    agrees(spark, tmp_path, "udf_cogrouped_map", "customer", "orders")
+    plan = catalogue.QUERIES["udf_cogrouped_map"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan
+    monkeypatch.setattr(user, "BUCKET", 100)
+    agrees(spark, tmp_path, "udf_cogrouped_map", "customer", "orders")
