@@ -4,10 +4,12 @@ import datetime
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import user
+from tessera.operators import vectors
 from tessera.plans import catalogue
 from tessera.streaming import arrivals, events
 from test_catalogue import rows
@@ -72,3 +74,20 @@ def test_cogrouped_customers_share_calls(spark, tmp_path, monkeypatch):
     assert "bucket" in plan
     monkeypatch.setattr(user, "BUCKET", 100)
     agrees(spark, tmp_path, "udf_cogrouped_map", "customer", "orders")
+
+
+@pytest.mark.parametrize(("block", "strip"), [(vectors.BLOCK, vectors.STRIP), (70, 3)])
+def test_nearest_of_all_in_blocks(spark, tmp_path, monkeypatch, block, strip):
+    """Copies in different blocks, nearly equal vectors and zeros give the rows of the SQL, and no pair is a row of the plan."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "STRIP", strip)
+    at = np.random.default_rng(4)
+    x = at.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:200] = x[np.arange(100) % 7]
+    x[200:230] = x[3] * (1 + 1e-7 * np.arange(30))[:, None]
+    x[280:] = 0
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    df.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    agrees(spark, tmp_path, "vector_top1", "embeddings")
+    assert "Join" not in catalogue.QUERIES["vector_top1"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
