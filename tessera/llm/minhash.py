@@ -11,12 +11,17 @@ groups of near copies) would give lists whose pairs grow with the square, so a
 text is listed under its rarer values: under so many that a pair of likeness 0.75
 shares none less than once in a million. A text with too few of these (less than
 ``RARE`` of its sketch) is in long lists too, under its smallest common values,
-with a ``WIDE`` sketch that holds most sets whole. Each long list compares its
-texts with one leader, and near ones join the leader's component. What is left
-outside a list's largest component is compared with the whole list block by
-block, so that no task holds more than two blocks and only near pairs come out
-of it. Nothing is capped and no list emits all its pairs. Whether a value is
-common is found by a join; no table of values passes through the driver.
+with a ``WIDE`` sketch that holds most sets whole. Among these texts the values of
+the wide sketches are counted. Pairs that share one of ``common`` texts at most meet
+under it. All other pairs share only the rest of their values, which bounds what
+they have in common: a text whose own values are more than about a seventh of it is
+near no text of its size that way, and the others lie about the core of a group.
+So each long list compares its texts with the leaders of their size, the texts with
+the fewest values of their own, and near ones join the leader's component. What is
+then left outside a list's largest component and within its bound is compared with
+the list block by block, so that no task holds more than two blocks and only near
+pairs come out of it. Nothing is capped and no list emits all its pairs. Whether a
+value is common is found by a join; no table of values passes through the driver.
 
 Cases: a null text is empty; a text without words has no set and is linked with
 nothing. A null id is the least. Ids are of any type that has an order; rows that
@@ -53,8 +58,10 @@ BROADCAST_IDS = 1_000_000
 ESTIMATE = 0.42
 #: Values of the wide sketch (sets of as many are whole), and the estimate that it asks for: 6 standard deviations below 0.75.
 WIDE, WIDE_ESTIMATE = 512, 0.63
-#: Texts of a block of the last comparison.
-BLOCK = 1024
+#: 6 standard deviations of a share of WIDE values, for the share of 0.75 that near sets have in common at least.
+SLACK = 6 * (0.75 * 0.25 / WIDE) ** 0.5
+#: Texts of a block of the last comparison, and values that are counted there at once.
+BLOCK, COLUMNS = 1024, 4096
 #: Parts that the pairs of one text are dealt to for confirmation; each has the text once.
 PARTS = 64
 ROWS = 256
@@ -176,57 +183,108 @@ def sure() -> Column:
     return ((F.col("n") <= WIDE) & (F.col("m") <= WIDE)).alias("sure")
 
 
+def capped(long: DataFrame, common: int) -> tuple[DataFrame, DataFrame]:
+    """(v, n, often, wide, cap, bucket) of (v, n, often, wide), written; (v, value) of the values in 2 to ``common`` of the wide sketches, written. Texts that share none of these share ``cap`` values at most: those that are common."""
+    values = long.select("v", F.explode("wide").alias("value"))
+    seldom = written(values.groupBy("value").agg(F.count("*").alias("count"), F.min("v").alias("v")).filter(F.col("count") <= common), "seldom")
+    few = written(values.join(seldom.filter("count > 1").select("value"), "value").select("v", "value"), "few")
+    own = seldom.filter("count = 1").select("v").union(few.select("v")).groupBy("v").agg(F.count("*").alias("own"))
+    share = 1 - F.coalesce("own", F.lit(0)) / F.least("n", F.lit(WIDE))
+    cap = F.when(F.col("n") <= WIDE, F.round(share * F.col("n"))).otherwise(F.least(share + SLACK, F.lit(1.0)) * F.col("n"))
+    found = long.join(own, "v", "left").select("v", "n", "often", "wide", cap.alias("cap"), F.floor(F.log("n") / math.log(4 / 3)).alias("bucket"))
+    return written(found, "capped"), few
+
+
 def leader_pairs(now: DataFrame) -> DataFrame:
-    """(a, b, sure): in each long list, its texts that may be near the list's leader b, the text in most long lists. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
-    leader = F.struct((-F.size("often")).alias("low"), F.xxhash64("v").alias("order"), "v")
-    # written: a hot list's entries then meet its leader in a join that can be split
-    entries = written(now.groupBy("often").agg(F.min(leader).alias("l")).select("often", "l", F.explode("often").alias("value")), "entries")
-    leaders = written(entries.groupBy("value").agg(F.min("l").alias("leader")), "leaders")
-    of = entries.join(leaders, "value").select("often", F.col("leader.v").alias("b")).distinct()
-    of = of.join(now.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
-    met = now.select(F.col("v").alias("a"), "n", "often", F.col("wide").alias("x")).join(of, (now["often"] == of["often"]) & (F.col("a") != F.col("b")) & wide_near("x", "y", "n", "m"))
+    """(a, b, sure): in each long list, its texts that may be near a leader b of it: of those of about the same size, the text with the least share of values that aren't common. Texts listed under the same values are one entry of their lists, and lists with the same texts have the same leader."""
+    leader = F.struct((-F.col("cap") / F.col("n")).alias("low"), F.xxhash64("v").alias("order"), "v")
+    # written: a hot list's entries then meet its leaders in a join that can be split
+    entries = written(now.groupBy("often", "bucket").agg(F.min(leader).alias("l")).select("often", "bucket", "l", F.explode("often").alias("value")), "entries")
+    leaders = written(entries.groupBy("value", "bucket").agg(F.min("l").alias("leader")), "leaders")
+    around = leaders.select("value", "leader", F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))).alias("bucket"))
+    of = entries.join(around, ["value", "bucket"]).select("often", "bucket", F.col("leader.v").alias("b")).distinct()
+    of = of.join(now.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b").withColumnsRenamed({"often": "those", "bucket": "sized"})
+    met = now.select(F.col("v").alias("a"), "n", "often", "bucket", F.col("wide").alias("x")).join(of, (F.col("often") == F.col("those")) & (F.col("bucket") == F.col("sized")) & (F.col("a") != F.col("b")) & wide_near("x", "y", "n", "m"))
     return met.select("a", "b", sure()).distinct()
 
 
+def few_pairs(now: DataFrame, few: DataFrame) -> DataFrame:
+    """(a, b, sure): links across components of texts that share a value which is in ``common`` wide sketches at most. Only pairs that can be near with all their common values meet."""
+    of = now.select("v", "n", "cap", "component").join(few, "v")
+    other = of.withColumnsRenamed({"v": "b", "n": "m", "cap": "cap2", "component": "component2"})
+    met = of.withColumnRenamed("v", "a").join(other, "value").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & sizes_near("m", "n"))
+    counted = met.groupBy("a", "b", "n", "m", "cap", "cap2").agg(F.count("*").alias("shared"))
+    able = (F.greatest("n", "m") > WIDE) | (7 * (F.col("shared") + F.least("cap", "cap2")) >= 3 * (F.col("n") + F.col("m")))
+    wide = lambda v, x: now.select(F.col("v").alias(v), F.col("wide").alias(x))
+    both = written(counted.filter(able).select("a", "b", "n", "m"), "able").join(wide("a", "x"), "a").join(wide("b", "y"), "b")
+    return both.filter(wide_near("x", "y", "n", "m")).select("a", "b", sure())
+
+
 def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
     return long.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
-def largest(now: DataFrame) -> DataFrame:
-    """(value, top, texts, parts): of each long list with several components, the largest and the number of texts."""
-    entries = now.groupBy("often", "component").agg(F.count("*").alias("count")).select("often", "component", "count", F.explode("often").alias("value"))
-    sums = entries.groupBy("value", "component").agg(F.sum("count").alias("count"))
+def entries_left(now: DataFrame, common: int) -> DataFrame:
+    """(v, component, value), written: the entries of the long lists, without texts that are near none of the list by their common values alone. Lists of ``common`` texts at most hold no pair that ``few_pairs`` doesn't meet."""
+    of = now.select("v", "n", "cap", "component", F.explode("often").alias("value"))
+    lists = of.groupBy("value").agg(F.min("n").alias("low"), F.count("*").alias("texts")).filter(F.col("texts") > common)
+    able = 7 * F.col("cap") >= 3 * (F.col("n") + F.greatest(F.col("low"), 0.75 * F.col("n")))
+    return written(of.join(lists, "value").filter(able).select("v", "component", "value"), "able")
+
+
+def largest(entries: DataFrame) -> DataFrame:
+    """(value, top, texts, parts): of each list with several components, the largest and the number of texts."""
+    sums = entries.groupBy("value", "component").agg(F.count("*").alias("count"))
     return sums.groupBy("value").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("texts"), F.count("*").alias("parts")).filter("parts > 1")
 
 
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sorted lists xs shares with each of ys, by products of blocks of columns."""
+    held = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), np.float32)
+
+    def placed(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [*map(len, lists)])
+        place = np.minimum(np.searchsorted(held, flat), len(held) - 1)
+        there = held[place] == flat
+        return row[there], place[there]
+
+    if len(held):
+        sides = placed(xs), placed(ys)
+        for at in range(0, len(held), COLUMNS):
+            bits = []
+            for (row, place), lists in zip(sides, (xs, ys)):
+                these = (place >= at) & (place < at + COLUMNS)
+                bits.append(np.zeros((len(lists), min(COLUMNS, len(held) - at)), np.float32))
+                bits[-1][row[these], place[these] - at] = 1
+            out += bits[0] @ bits[1].T
+    return out
+
+
 def met_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(a, b, sure): of two blocks (v, n, component, wide) of one list, links across components: of sure ones those that connect what others don't, of pairs that full sets decide all that these don't connect. Shared values are counted for a text and a block at once."""
-    (ids, ids2), (n, m), (parts, parts2) = (tuple(t.column(c).to_numpy() for t in (left, right)) for c in ("v", "n", "component"))
-    wide, wide2 = ([np.asarray(x.values) for x in t.column("wide")] for t in (left, right))
+    """(a, b, sure): of two blocks (v, n, component, cap, wide) of one list, links across components: of sure ones those that connect what others don't, of pairs that full sets decide all that these don't connect. Only texts that can be near one of the other block with their common values are compared."""
+    (ids, ids2), (n, m), (parts, parts2), (cap, cap2) = (tuple(t.column(c).to_numpy() for t in (left, right)) for c in ("v", "n", "component", "cap"))
     found: list[tuple[int, int, bool]] = []
-    if len(ids) and len(ids2):
+    able = (parts[:, None] != parts2) & (4 * n[:, None] >= 3 * m) & (4 * m >= 3 * n[:, None]) & (7 * np.minimum(cap[:, None], cap2) >= 3 * (n[:, None] + m))
+    rows, cols = np.flatnonzero(able.any(1)), np.flatnonzero(able.any(0))
+    if len(rows):
+        able, ids, n, parts, ids2, m, parts2 = able[np.ix_(rows, cols)], ids[rows], n[rows], parts[rows], ids2[cols], m[cols], parts2[cols]
+        wide, wide2 = ([np.asarray(t.column("wide")[int(k)].values) for k in these] for t, these in ((left, rows), (right, cols)))
+        shared = shared_counts(wide, wide2)
+        whole = (n[:, None] <= WIDE) & (m <= WIDE)
+        near = able & whole & (7 * shared >= 3 * (n[:, None] + m))
+        # of sets that aren't whole, WIDE values make the union's sketch
+        unsure = able & ~whole & (shared >= WIDE_ESTIMATE * WIDE)
         number = np.unique(np.r_[parts, parts2], return_inverse=True)[1]
         one, two, root = number[: len(ids)], number[len(ids) :], np.arange(number.max() + 1)
-        flat = np.concatenate(wide2)
-        order = np.argsort(flat, kind="stable")
-        flat, of = flat[order], np.repeat(np.arange(len(ids2)), [*map(len, wide2)])[order]
-        for at, x in enumerate(wide):
-            near = (root[two] != root[one[at]]) & (4 * m >= 3 * n[at]) & (4 * n[at] >= 3 * m)
-            if not near.any():
-                continue
-            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            lo, steps = lo[hi > lo], (hi - lo)[hi > lo]
-            places = np.repeat(lo - np.r_[0, np.cumsum(steps)[:-1]], steps) + np.arange(steps.sum()) if len(steps) else steps
-            shared = np.bincount(of[places], minlength=len(ids2))
-            whole = (m <= WIDE) & (n[at] <= WIDE)
-            links = np.flatnonzero(near & whole & (100 * shared >= 75 * (n[at] + m - shared)))
+        for at in range(len(ids)):
+            links = np.flatnonzero(near[at] & (root[two] != root[one[at]]))
             for k in links[np.unique(root[two[links]], return_index=True)[1]]:
                 found.append((int(ids[at]), int(ids2[k]), True))
                 root[root == root[two[k]]] = root[one[at]]
-            # of sets that aren't whole, WIDE values make the union's sketch
-            for k in np.flatnonzero(near & ~whole & (shared >= WIDE_ESTIMATE * WIDE)):
-                if root[two[k]] != root[one[at]] and within_union(x, wide2[k]) >= WIDE_ESTIMATE:
-                    found.append((int(ids[at]), int(ids2[k]), False))
+        for at, k in np.argwhere(unsure):
+            if root[two[k]] != root[one[at]] and within_union(wide[at], wide2[k]) >= WIDE_ESTIMATE:
+                found.append((int(ids[at]), int(ids2[k]), False))
     return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()), "sure": pa.array([p[2] for p in found], pa.bool_())})
 
 
@@ -236,18 +294,18 @@ def within_union(x: np.ndarray, y: np.ndarray) -> float:
     return (np.intersect1d(x, y, assume_unique=True) <= union[-1]).sum() / len(union)
 
 
-def rest_pairs(now: DataFrame, tops: DataFrame) -> DataFrame:
+def rest_pairs(now: DataFrame, entries: DataFrame, tops: DataFrame) -> DataFrame:
     """(a, b, sure): links across the components of a long list, as ``met_blocks`` has them: of texts outside the largest component with all others. Each list's texts are dealt to blocks by their hash, and each block of those outside meets each block of the list in a group of its own."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = tops.select("value", F.col("top.component").alias("top"), blocks("texts").alias("all"), F.ceil((F.col("texts") - F.col("top.count")) / BLOCK).cast("int").alias("out"))
-    of = now.select("v", "component", F.explode("often").alias("value")).join(sizes, "value")
+    of = entries.join(sizes, "value")
     place = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = of.filter("component != top").select("v", "value", place("out").alias("i"), every("all").alias("j"))
     whole = of.select("v", "value", place("all").alias("j"), every("out").alias("i"))
-    wide = now.select("v", "n", "component", "wide")
+    wide = now.select("v", "n", "component", "cap", "wide")
     # aliases: the two sides come from the same tables
-    groups = [rows.join(wide, "v").select(*(F.col(c).alias(c) for c in ("value", "i", "j", "v", "n", "component", "wide"))).groupBy("value", "i", "j") for rows in (outside, whole)]
+    groups = [rows.join(wide, "v").select(*(F.col(c).alias(c) for c in ("value", "i", "j", "v", "n", "component", "cap", "wide"))).groupBy("value", "i", "j") for rows in (outside, whole)]
     met = groups[0].cogroup(groups[1]).applyInArrow(met_blocks, "a long, b long, sure boolean")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct()
 
@@ -287,11 +345,14 @@ def links(docs: DataFrame, reps: DataFrame, sketches: DataFrame, common: int = C
         unsure = written(confirmed(pairs.filter("NOT sure").select("a", "b"), texts), "links")
         return pairs.filter("sure").select("a", "b").union(unsure)
 
+    long, few = capped(long, common)
     near = near.union(linked(leader_pairs(long)))
     now = written(labelled(long, components(near)), "listed")
-    tops = written(largest(now), "largest")
+    near = near.union(linked(few_pairs(now, few)))
+    entries = entries_left(now, common)
+    tops = written(largest(entries), "largest")
     if not tops.isEmpty():
-        near = near.union(linked(rest_pairs(now, tops)))
+        near = near.union(linked(rest_pairs(now, entries, tops)))
     return components(near)
 
 

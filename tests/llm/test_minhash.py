@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import minhash
@@ -87,6 +88,44 @@ def test_chains_and_groups(spark, monkeypatch, common, block, size):
     assert plain(minhash.near_duplicates(df, common)) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [146, 700])
+def test_few_texts_of_a_large_group_are_compared_with_all(spark, monkeypatch, size):
+    """Copies of one text with few edits and many, of sets that wide sketches hold and that they don't: where they do, a leader links all but a few of those that can be near by what is common."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=size + 4)
+    docs = []
+    for k in range(400):
+        text = [*base]
+        for at in rng.sample(range(size), k * size // 4000):
+            text[at] = rng.choice(words)
+        docs.append(" ".join(text))
+    rng.shuffle(docs)
+    left = []
+    largest = minhash.largest
+
+    def counted(entries):
+        tops = largest(entries)
+        left.extend((r.texts, r.texts - r.top["count"]) for r in tops.collect())
+        return tops
+
+    monkeypatch.setattr(minhash, "largest", counted)
+    rows = [*enumerate(docs)]
+    assert plain(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    share = sum(n for _, n in left) / max(1, sum(n for n, _ in left))
+    print("entries of lists", sum(n for n, _ in left), "outside the largest component", share)
+    assert size > minhash.WIDE or share < 0.1
+
+
+def test_counts_of_shared_values(monkeypatch):
+    rng = np.random.default_rng(3)
+    xs, ys = ([np.unique(rng.integers(0, 300, n)) for n in sizes] for sizes in ((1, 40, 200), (5, 90, 1, 250)))
+    for columns in (7, 4096):
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        assert minhash.shared_counts(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert minhash.shared_counts([np.array([1, 2])], [np.array([3])]).tolist() == [[0]]
+
+
 def test_nulls_ties_and_small_tables(spark):
     rows = [(5, None), (4, ""), (3, " \n\t "), (2, "A b"), (1, "a B"), (9, "a b c d e f"), (8, "A  b c\nd e f"), (7, "a b c d e"), (6, "word " * 30_000), (10, "word " * 5), (None, "zeta eta theta"), (12, "zeta eta theta")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS v", "3 AS n", "4 AS component")
