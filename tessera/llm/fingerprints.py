@@ -86,6 +86,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fingerprint(rows.select(id_col, "row", F.explode("terms").alias("term")), [id_col, "row"], "term").drop("row")
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """The rows, whose next join shuffles both sides: Spark sizes tables without the rows that an explode adds and by how files compress them, keeps to a broadcast chosen so, and can send the driver many times the limit."""
+    return df.hint("merge")
+
+
 def next_ids(docs: DataFrame, id_col: str, half: Column) -> DataFrame:
     """(id, next_id, need) for each id: the id after it (after the last: the first) and the most code points that its edited texts want. Ids alone are ordered, by range; the last of each range takes the first of the following one."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -104,9 +109,9 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     half = F.floor(F.length("text") / 2).cast("int")
     after = next_ids(own, "id", half)
     provider = own.select(F.col("id").alias("next_id"), "text")
-    given = after.join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], F.xxhash64("text").alias("hash"), F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
+    given = unbroadcast(after).join(provider, after["next_id"] == provider["next_id"]).select("id", after["next_id"], F.xxhash64("text").alias("hash"), F.substring("text", F.lit(1), F.col("need")).alias("prefix"))
     given = given.groupBy("id", "next_id").agg(F.min(F.struct("hash", "prefix")).alias("least")).select(F.col("id").alias("of"), "next_id", "least.prefix")
-    both = own.join(given, own["id"] == given["of"])
+    both = unbroadcast(own).join(given, own["id"] == given["of"])
     changed = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("prefix", F.lit(1), half))
     return both.select(F.col("id").alias(id_col), "next_id", "text", F.xxhash64("text").alias("hash"), changed.alias("edited"))
 
@@ -147,7 +152,7 @@ def as_hex(a: str, b: str) -> Column:
 def compare(found: DataFrame) -> DataFrame:
     """Likeness of each document's fingerprint to that of its edited text and of the next document, and what the search finds: n_within and nearest."""
     following = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("hash", "f1", "f2")).alias("n"))
-    both = with_neighbours(found).join(following, F.col("next_id") == F.col("id"))
+    both = with_neighbours(found).join(unbroadcast(following), F.col("next_id") == F.col("id"))
     mine = [F.col("f1"), F.col("f2")]
     return both.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
@@ -190,7 +195,7 @@ def met_in_tables(found: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     entries = keyed(found.select("f1", "f2").distinct(), masks)
     crowded = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     upto = 2 * (F.col("blocks") - F.col("blocks").bitwiseAND(-F.col("blocks"))) - 1
-    return written(entries.join(crowded, "key").select("blocks", upto.alias("upto"), "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
+    return written(unbroadcast(entries).join(crowded, "key").select("blocks", upto.alias("upto"), "key", "f1", "f2", F.ceil(F.col("n") / CROWD).alias("parts")), "tables")
 
 
 def in_part() -> Column:
@@ -209,7 +214,7 @@ def within(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     right = met.select(F.col("key").alias("other_key"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), every_part().alias("other_part"))
     distance = differing([F.col("f1"), F.col("f2")], [F.col("g1"), F.col("g2")])
     lesser = (F.col("f1") < F.col("g1")) | ((F.col("f1") == F.col("g1")) & (F.col("f2") < F.col("g2")))
-    near = left.join(right, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")) & lesser & (distance <= radius) & first_met(masks, F.col("g1"), F.col("g2")))
+    near = unbroadcast(left).join(right, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")) & lesser & (distance <= radius) & first_met(masks, F.col("g1"), F.col("g2")))
     return near.select("f1", "f2", "g1", "g2", distance.cast("int").alias("distance"))
 
 
@@ -219,7 +224,7 @@ def neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     met = met_in_tables(found, masks)
     parts = met.groupBy(F.col("key").alias("other_key"), in_part().alias("other_part")).agg(F.collect_list(F.struct(F.col("f1").alias("g1"), F.col("f2").alias("g2"))).alias("others"))
     entries = met.select("blocks", "upto", "key", "f1", "f2", every_part().alias("part"))
-    both = entries.join(parts, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")))
+    both = unbroadcast(entries).join(parts, (F.col("key") == F.col("other_key")) & (F.col("part") == F.col("other_part")))
     away = lambda g: differing([F.col("f1"), F.col("f2")], [g["g1"], g["g2"]])
     near = F.filter("others", lambda g: away(g).between(1, radius) & first_met(masks, g["g1"], g["g2"]))
     counted = both.select("f1", "f2", F.transform(near, away).alias("distances")).select("f1", "f2", F.size("distances").alias("n"), F.array_min("distances").alias("nearest"))

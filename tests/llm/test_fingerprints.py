@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
@@ -159,3 +160,39 @@ def test_fingerprints_of_the_query_match_a_plain_vote(spark):
         for h in ("h0", "h1"):
             want = want << 64 | sum(1 << b for b in range(64) if 2 * sum(r.w for r in of if r[h] >> b & 1) > sum(r.w for r in of))
         assert got[i] == want
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Tables that Spark sizes at 400 kB are broadcast, tables that have 2 MB can't be."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "400k", "spark.sql.maxBroadcastTableSize": "2m"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k in limits:
+        spark.conf.unset(k)
+
+
+def test_entries_of_all_tables_are_not_broadcast(spark, small_broadcasts):
+    """5,000 fingerprints, sized at 180 kB, have 140,000 entries of 40 bytes in the tables."""
+    rng = random.Random(5)
+    seeds = [rng.getrandbits(128) for _ in range(2_500)]
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    key = lambda x: (signed(x >> 64), signed(x & (1 << 64) - 1))
+    found = fp.written(spark.createDataFrame([key(x) for s in seeds for x in (s, s ^ 1 << rng.randrange(128))], "f1 long, f2 long"), "test")
+    got = fp.neighbours(found).collect()
+    assert len(got) == 5_000 and {(r.n_within, r.nearest) for r in got} == {(1, 1)}
+    assert {r.distance for r in fp.within(found).collect()} == {1} and fp.within(found).count() == 2_500
+
+
+def test_texts_that_files_hold_compressed_are_not_broadcast(spark, small_broadcasts):
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat(concat('word ', id % 7, ' '), 1000) AS text")
+    rows = fp.compare(fp.with_edited(fp.written(docs, "test"))).collect()
+    assert len(rows) == 600 and {r.n_chars for r in rows} == {7_000}
+
+
+def test_fingerprints_of_copies_are_not_broadcast(spark, small_broadcasts):
+    """Equal fingerprints take little of a file, but each row of them is one."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 8), k -> md5(concat(id % 64, '-', k)))) AS text")
+    rows = fp.compare(fp.with_edited(docs))
+    assert rows.filter("n_within = 0").count() == 40_000 and rows.select("fingerprint").distinct().count() == 64
