@@ -1,5 +1,7 @@
 """What the optimizer makes of the catalogue: pushdown, pruning, kinds of joins, limits by group, shuffles saved."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def test_no_query_makes_all_pairs_of_large_tables(spark):
         assert "CartesianProduct" not in plan_of(catalogue.QUERIES[name](spark, FOLDER)), name
 
 
+@pytest.mark.parametrize(("name", "by"), [("correlated_latest", "o_orderdate")])
+def test_limits_of_correlated_subqueries_number_rows_by_their_order(spark, name, by):
+    """A number without an order follows the arrival of shuffled rows, which several executors change."""
+    plan = plan_of(catalogue.QUERIES[name](spark, FOLDER))
+    assert re.search(rf"row_number\(\) windowspecdefinition\(o_custkey#\d+L?, {by}#\d+ DESC NULLS LAST, o_orderkey#\d+L? ASC", plan)
+
+
 def test_late_rows_are_dropped(spark):
     """The stream of three batches counts no day before the eleventh, though the table has such days."""
     late = table(spark, FOLDER, "events").filter("ts < '2024-01-11'").count()
