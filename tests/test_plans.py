@@ -53,7 +53,7 @@ def test_no_query_makes_all_pairs_of_large_tables(spark):
         assert "CartesianProduct" not in plan_of(catalogue.QUERIES[name](spark, FOLDER)), name
 
 
-@pytest.mark.parametrize(("name", "by"), [("correlated_latest", "o_orderdate")])
+@pytest.mark.parametrize(("name", "by"), [("correlated_latest", "o_orderdate"), ("lateral_top2", "o_totalprice")])
 def test_limits_of_correlated_subqueries_number_rows_by_their_order(spark, name, by):
     """A number without an order follows the arrival of shuffled rows, which several executors change."""
     plan = plan_of(catalogue.QUERIES[name](spark, FOLDER))
